@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, line_rules, mixing, quality_fm, secret_scan, substring_dedup, suffix_dedup
+from . import html_extract, line_rules, minhash_dedup, mixing, quality_fm, secret_scan, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_suffixes(_table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that go, each with the one that stays for it."""
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op4_secret_scan, op5_html_extraction, op6_quality_classifier, op7_line_frequency, op10_source_mixing)
+    f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_minhash_dedup, op4_secret_scan, op5_html_extraction, op6_quality_classifier, op7_line_frequency, op10_source_mixing)
 }
 
 #: Queries that SQL can express; the rest have brute-force tests in tests/llm.
