@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, line_rules, minhash_dedup, mixing, quality_fm, secret_scan, substring_dedup, suffix_dedup
+from . import decontam, html_extract, line_rules, minhash_dedup, mixing, quality_fm, secret_scan, substring_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +45,22 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item that it leaks."""
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxic documents, with their evidence."""
+    return toxicity.toxic(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_minhash_dedup, op4_secret_scan, op5_html_extraction, op6_quality_classifier, op7_line_frequency, op10_source_mixing)
+    f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_minhash_dedup, op4_secret_scan, op5_html_extraction, op6_quality_classifier, op7_line_frequency, op8_decontamination, op9_toxicity, op10_source_mixing)
 }
 
 #: Queries that SQL can express; the rest have brute-force tests in tests/llm.
