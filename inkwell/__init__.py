@@ -1 +1 @@
-"""inkwell: a document-store engine expressed as PySpark DataFrames."""
+"""Documents as tables: Markdown trees with frontmatter, parsed, checked, linked and changed on Spark."""
