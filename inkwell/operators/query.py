@@ -59,11 +59,11 @@ def section(docs: DataFrame, path: list[str]) -> DataFrame:
 def top_sections(docs: DataFrame) -> DataFrame:
     """Sections of the least level that a document has."""
     least = F.array_min(F.transform("sections", lambda s: s["level"]))
-    return docs.withColumn("_least", least).select("path", F.inline(F.filter("sections", lambda s: s["level"] == F.col("_least"))))
+    return docs.withColumn("_least", least).select("path", F.explode(F.filter("sections", lambda s: s["level"] == F.col("_least"))).alias("section"))
 
 
 def headings(docs: DataFrame, level: int | None = None) -> DataFrame:
-    out = docs.select("path", F.inline("sections")).select("path", "ord", "level", F.col("heading").alias("text"), "line")
+    out = docs.select("path", F.explode("sections").alias("s")).select("path", "s.ord", "s.level", F.col("s.heading").alias("text"), "s.line")
     return out if level is None else out.filter(F.col("level") == level)
 
 

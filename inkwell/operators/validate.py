@@ -26,7 +26,7 @@ _DIAG = "struct<stage:int,o1:int,o2:int,severity:string,code:string,message:stri
 
 def _diag(stage, o1, o2, severity, code, message, location, hint=None, ref=None, user=None) -> Column:
     text = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
-    whole = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("int")
+    whole = lambda x: (x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)).cast("int")
     return F.struct(whole(stage).alias("stage"), whole(o1).alias("o1"), whole(o2).alias("o2"), text(severity).alias("severity"), text(code).alias("code"), text(message).alias("message"), text(location).alias("location"), text(hint).alias("hint"), text(ref).alias("ref"), text(user).alias("user"))
 
 
