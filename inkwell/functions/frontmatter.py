@@ -19,7 +19,7 @@ for _tag, _expression, _first in (
     ("null", r"^(?:~|null|Null|NULL|)$", ["~", "n", "N", ""]),
     ("bool", r"^(?:true|True|TRUE|false|False|FALSE)$", list("tTfF")),
     ("int", r"^[-+]?(?:0|[1-9][0-9]*)$|^0o[0-7]+$|^0x[0-9a-fA-F]+$", list("-+0123456789")),
-    ("float", r"^[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?$|^[-+]?\.(?:inf|Inf|INF)$|^\.(?:nan|NaN|NAN)$", list("-+0123456789.")),
+    ("float", r"^(?![-+]?0[0-9]+$)[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?$|^[-+]?\.(?:inf|Inf|INF)$|^\.(?:nan|NaN|NAN)$", list("-+0123456789.")),
 ):
     CoreLoader.add_implicit_resolver(f"tag:yaml.org,2002:{_tag}", re.compile(_expression), _first)
 CoreLoader.add_constructor("tag:yaml.org,2002:int", lambda loader, node: int(node.value.replace("0o", "0O"), 0) if node.value[:2] in ("0x", "0o") else int(node.value))
@@ -77,7 +77,8 @@ class CoreDumper(yaml.SafeDumper):
         return super().increase_indent(flow, False)
 
 
-CoreDumper.yaml_implicit_resolvers = {**yaml.SafeDumper.yaml_implicit_resolvers}
+# text that readers of either version would take for something else is quoted
+CoreDumper.yaml_implicit_resolvers = {c: [*CoreLoader.yaml_implicit_resolvers.get(c, []), *yaml.SafeDumper.yaml_implicit_resolvers.get(c, [])] for c in {*CoreLoader.yaml_implicit_resolvers, *yaml.SafeDumper.yaml_implicit_resolvers}}
 
 
 def split(raw: str) -> tuple[str | None, str, int]:

@@ -249,6 +249,13 @@ def split_lines(text: str) -> list[str]:
     return lines[:-1] if lines and not lines[-1] else lines
 
 
+def _slice(lines: list[str], a: int, b: int, body: str) -> str:
+    """Lines with their ends; the body's last one as it is."""
+    if a >= b:
+        return ""
+    return "\n".join(lines[a:b]) + ("\n" if b < len(lines) or body.endswith("\n") else "")
+
+
 def parse_body(body: str) -> dict:
     """Headings, sections, links of a body. See ``functions.parse`` for the types."""
     lines = split_lines(body)
@@ -279,11 +286,10 @@ def parse_body(body: str) -> dict:
         parent = parent if opened and opened[-1][2] == parent else None
         path = [*sections[parent]["path"], h.text] if parent is not None else [h.text]
         opened.append((h, siblings, ord_))
-        content = lines[h.start + 1 : end]
         sections.append(
             {
                 "ord": ord_, "parent": parent, "level": h.level, "heading": h.text, "line": h.start + 1, "path": path,
-                "raw": "\n".join(lines[h.start : end]), "content": "\n".join(content),
+                "raw": _slice(lines, h.start, end, body), "content": _slice(lines, h.start + 1, end, body),
                 # a table counts as a paragraph, and so does the mark under a setext heading
                 "n_paragraphs": sum(b.kind in ("paragraph", "table") for b in inside),
                 "n_lists": sum(b.kind == "list" for b in inside), "n_items": sum(b.kind == "item" for b in inside),

@@ -26,7 +26,7 @@ def fields(old: DataFrame, new: DataFrame) -> DataFrame:
 def _sections(docs: DataFrame) -> DataFrame:
     """One row for each section by its path of headings; of equal paths the first."""
     at = docs.select("path", F.inline("sections").alias(*["ord", "parent", "level", "heading", "line", "names", "raw", "content", "n_paragraphs", "n_lists", "n_items", "code_infos", "text", "tables"]))
-    reachable = at.filter(F.col("parent").isNotNull() | (F.col("level") == F.min("level").over(Window.partitionBy("path"))))
+    reachable = at.withColumn("_top", F.min("level").over(Window.partitionBy("path"))).filter("parent is not null or level = _top")
     first = Window.partitionBy("path", "section").orderBy("ord")
     return reachable.select("path", F.array_join("names", " > ").alias("section"), "ord", "content").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 

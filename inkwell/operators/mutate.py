@@ -77,7 +77,7 @@ def _span(text: str, path: list[str]) -> tuple[list[str], int, int]:
         if found is None:
             raise KeyError(" > ".join(path))
     lines = split_lines(text)
-    return lines, found["line"], found["line"] + len(split_lines(found["content"] + "\n")) if found["content"] else found["line"]
+    return lines, found["line"], found["line"] + len(split_lines(found["content"]))
 
 
 def _section_edit(docs: DataFrame, path: list[str], content: str, change: Callable) -> DataFrame:

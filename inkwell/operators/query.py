@@ -84,8 +84,8 @@ def cells(found: DataFrame) -> DataFrame:
 
 def column(found: DataFrame, name: str) -> DataFrame:
     """(path, heading, table_idx, values) of the first column of that name."""
-    at = F.array_position("headers", name)
-    return found.filter(at > 0).select("path", "heading", "table_idx", F.transform("rows", lambda r: F.try_element_at(r, F.array_position("headers", name).cast("int"))).alias("values"))
+    at = F.nullif(F.array_position("headers", name).cast("int"), F.lit(0))
+    return found.filter(at.isNotNull()).select("path", "heading", "table_idx", F.transform("rows", lambda r: F.try_element_at(r, at)).alias("values"))
 
 
 def cell(found: DataFrame, name: str, row: int) -> DataFrame:

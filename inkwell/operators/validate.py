@@ -246,7 +246,7 @@ def _one_section() -> Column:
         return F.when(c["required"] & ~F.array_contains(table["headers"], c["name"]), d(c["ord"] * 100 + 2, "S021", _cat("the table of ", here, ' lacks the column "', c["name"], '"'), inside))
 
     def cell(c):
-        at = F.array_position(table["headers"], c["name"]).cast("int")
+        at = F.nullif(F.array_position(table["headers"], c["name"]).cast("int"), F.lit(0))
 
         def row(r, i):
             value = strip(F.coalesce(F.try_element_at(r, at), F.lit("")))
@@ -255,7 +255,7 @@ def _one_section() -> Column:
             filled = _diag(4, "section_id", c["ord"] * 100 + 3 + i, None, None, _cat("table:", name, ".", c["name"], ".row", i.cast("string")), _cat("frontmatter.table:", name, ".", c["name"], ".row", i.cast("string")), user=value)
             return F.when(value == "", empty).otherwise(filled)
 
-        return F.when((c["col_type"] == "user") & (at > 0), F.transform(table["rows"], row)).otherwise(F.array().cast(f"array<{_DIAG}>"))
+        return F.when((c["col_type"] == "user") & at.isNotNull(), F.transform(table["rows"], row)).otherwise(F.array().cast(f"array<{_DIAG}>"))
 
     none = F.array().cast(f"array<{_DIAG}>")
     columns = F.when(table.isNotNull() & F.col("has_table"), F.concat(F.transform("columns", column), F.flatten(F.transform("columns", cell)))).otherwise(none)

@@ -300,9 +300,10 @@ def fix_plan(spark, sf_dir):
     return mutate.fix_plan(docs, validate.validate(docs, schema, corpus.users()), schema).select("path", "code", "value")
 
 
-@_add(f"select path, code, severity, location from ({_codes('F010')}) union all select {_P}, 'F040', 'error', 'frontmatter.retired_on' from part where p_size % 5 = 0 and p_partkey % 2 <> 0 and p_partkey % 19 <> 0 union all select {_P}, 'S020', 'error', 'section \"Pricing\"' from part where p_partkey % 7 = 0 or p_partkey % 11 = 0")
+@_add(f"select path, code, severity, location from ({_codes('F010')}) union all select {_P}, 'F040', 'error', 'frontmatter.retired_on' from part where p_size % 5 = 0 and p_partkey % 2 <> 0 and p_partkey % 19 <> 0 union all select {_P}, 'S020', 'error', 'section \"Pricing\"' from part where p_partkey % 7 = 0 or p_partkey % 11 = 0 union all select {_P}, 'S010', 'error', 'document body' from part where p_partkey % 7 = 0 or p_partkey % 3 = 0")
 def fix_apply(spark, sf_dir):
-    """What F010, F021, F040, S010 and S020 say of the mended documents."""
+    """What F010, F021, F040, S010 and S020 say of the mended documents: a heading is added at
+    the end, so a nested one, or the nested ones of a new one, are still to be placed."""
     docs, schema = corpus.stored_parts(spark, sf_dir), corpus.part_schema()
     mended = mutate.fix_apply(docs, mutate.fix_plan(docs, validate.validate(docs, schema, corpus.users()), schema))
     after = written(parse_documents(docs.select("path", "raw").join(mended.select("path"), "path", "left_anti").unionByName(mended)), "mended")
