@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import frontmatter_json
@@ -24,6 +24,17 @@ def listing(docs: DataFrame, *predicates: Column, sort: str | None = None, field
     return out.select("path", *[shown(f).alias(f) for f in fields]) if fields else out
 
 
+def positions(docs: DataFrame, sort: str) -> DataFrame:
+    """(path, key, pos): places in the order that ``listing`` gives, from 1. Rows are numbered
+    within equal keys, after the number of rows of the keys before; no task sorts them all."""
+    falling = sort.startswith("-")
+    at = where(docs).select("path", F.coalesce(shown(sort.lstrip("-")), F.lit("")).alias("key"))
+    order = F.col("key").desc() if falling else F.col("key").asc()
+    before = at.groupBy("key").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("key").orderBy(path_order(F.col("path"))))
+    return at.withColumn("own", own).join(before.select("key", "before"), "key").select("path", "key", (F.col("before") + F.col("own")).alias("pos"))
+
+
 def list_json(docs: DataFrame, fields: list[str]) -> DataFrame:
     """(path, json): objects of the fields that are there; null values stay."""
     value = lambda f: F.try_element_at("fields", F.lit(f)).getField("json")

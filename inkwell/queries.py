@@ -122,9 +122,7 @@ def filter_json_path(spark, sf_dir):
 @_add(f"select {_P} as path, cast(p_size as varchar) as size, row_number() over (order by cast(p_size as varchar) desc, {_P}) as pos from part")
 def sort_field_desc(spark, sf_dir):
     """The display decides, falling; ties rise by path."""
-    out = query.listing(corpus.part_heads(spark, sf_dir), sort="-size", fields=["size"])
-    rows = out.rdd.zipWithIndex().map(lambda r: (r[0].path, r[0].size, r[1] + 1))
-    return spark.createDataFrame(rows, "path string, size string, pos long")
+    return query.positions(corpus.part_heads(spark, sf_dir), "-size").select("path", F.col("key").alias("size"), "pos")
 
 
 @_add(f"select {_P} as path, p_name as title, case when p_partkey % 13 <> 0 then p_brand end as brand, case when p_size > 25 then 'true' end as bulky from part")

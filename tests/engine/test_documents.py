@@ -112,6 +112,9 @@ def test_null_values_are_present(spark):
 def test_list_and_read(docs):
     out = query.listing(docs.filter("fm_state = 'ok'"), sort="-type", fields=["type"]).collect()
     assert [r.path for r in out] == ["opp-001.md", "inc-001.md", "gov-001.md", "adr-001.md", "adr-002.md", "adr-003.md"]
+    for sort in ("-type", "status", "none"):
+        order = [r.path for r in query.listing(docs, sort=sort).collect()]
+        assert {r.path: r.pos for r in query.positions(docs, sort).collect()} == {p: k + 1 for k, p in enumerate(order)}
     t = query.tables(docs, ["options"])
     assert query.column(t, "Owner").first()["values"] == ["@ann", "@team/all"] and query.cell(t, "Option", 1).first().value == "two"
     assert query.cell(t, "Option", 9).count() == 0 and query.column(t, "owner").count() == 0
