@@ -5,8 +5,8 @@ presence against toxicity exceeds the Bonferroni limit of ``ALPHA`` over all
 words of the examples. Weights are (1 + ln tf) * idf, with idf over the examples.
 An inverted index holds, by term, the blocks of ``BLOCK`` examples that have it,
 and the term's greatest weight in each. A document's bound in a block is the sum
-of its weights times those; blocks are visited by falling bound and the search
-ends where a bound is below the k-th cosine, so the k neighbours are exact.
+of its weights times those; the blocks of the greatest bounds give a k-th
+cosine, and blocks whose bounds are below it are skipped, so the k neighbours are exact.
 
 Neighbours vote with their cosines (the distance is one minus it), and one vote
 of ``PRIOR`` goes to the examples' rate. A logistic curve, fitted to the votes
@@ -38,7 +38,13 @@ from .common import ids_and_text, sized, store
 from .textkernel import Words, groups
 
 #: Production parameters.
-MAX_TOXIC, MAX_CLEAN, ALPHA, NEAREST, BLOCK, PRIOR, CUTOFF = 4000, 8000, 0.01, 15, 32, 0.25, 0.5
+MAX_TOXIC, MAX_CLEAN, ALPHA, NEAREST, BLOCK, FIRST, PRIOR, CUTOFF = 4000, 8000, 0.01, 15, 32, 4, 0.25, 0.5
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The whole numbers of each range, one range after the other."""
+    size = end - start
+    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
 
 
 @dataclass
@@ -66,7 +72,10 @@ class Index:
         return w / np.sqrt((w * w).sum())
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEAREST, without=None) -> tuple[list[tuple[float, int]], int]:
-        """([(cosine, example)] of the k nearest with a cosine above 0, blocks visited)."""
+        """([(cosine, example)] of the k nearest with a cosine above 0, blocks visited).
+
+        The FIRST blocks by bound give a k-th cosine; of the others those are read
+        whose bounds reach it."""
         bound = np.zeros(self.n_blocks)
         for t, x in zip(at.tolist(), w.tolist(), strict=True):
             blocks, most = self.lists[t]
@@ -74,19 +83,32 @@ class Index:
         dense = np.zeros(len(self.terms))
         dense[at] = w
         order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        visited = 0
-        for b in order.tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            visited += 1
-            i, j = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
-            s, e = self.ptr[i], self.ptr[j]
-            cos = np.add.reduceat(dense[self.col[s:e]] * self.weight[s:e], self.ptr[i:j] - s)
-            # rounded, so that equal texts tie whatever the order of their sums
-            best += [(-round(c, 12), int(self.ids[i + n]), i + n) for n, c in enumerate(cos.tolist()) if c > 0 and (without is None or self.ids[i + n] != without)]
-            best = sorted(best)[:k]
-        return [(-c, n) for c, _, n in best], visited
+        order = order[: np.count_nonzero(bound > 0)]
+        first = order[:FIRST]
+        cos, n = self._cosines(dense, first, without)
+        least = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) >= k else 0.0
+        rest = order[FIRST:][bound[order[FIRST:]] >= least - 1e-9]
+        if len(rest):
+            more, m = self._cosines(dense, rest, without)
+            cos, n = np.concatenate([cos, more]), np.concatenate([n, m])
+        if len(cos) > k:
+            keep = cos >= np.partition(cos, len(cos) - k)[len(cos) - k]
+            cos, n = cos[keep], n[keep]
+        top = np.lexsort((self.ids[n], -cos))[:k]
+        return list(zip(cos[top].tolist(), n[top].tolist(), strict=True)), len(first) + len(rest)
+
+    def _cosines(self, dense: np.ndarray, blocks: np.ndarray, without) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines above 0, examples) of the blocks, all at once."""
+        a = np.sort(blocks) * BLOCK
+        n = _ranges(a, np.minimum(a + BLOCK, len(self.ids)))
+        at = _ranges(self.ptr[n], self.ptr[n + 1])
+        start = np.concatenate([[0], np.cumsum(self.ptr[n + 1] - self.ptr[n])[:-1]]) if len(n) else n
+        # rounded, so that equal texts tie whatever the order of their sums
+        cos = np.round(np.add.reduceat(dense[self.col[at]] * self.weight[at], start), 12) if len(n) else np.zeros(0)
+        good = cos > 0
+        if without is not None:
+            good &= self.ids[n] != without
+        return cos[good], n[good]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         whole = sum(c for c, _ in near)
