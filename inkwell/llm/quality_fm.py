@@ -92,11 +92,11 @@ class Machine:
         return np.where(words > 0, 1 / (1 + np.exp(-self.margin(ptr, index, value)[0].astype(float))), 0.0)
 
 
-def fit(texts: list[str], meta: list[tuple[str, str]], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
+def fit(texts: list[str] | pa.Array, meta: list[tuple[str, str]], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
     """AdaGrad on the logistic loss, both classes weighted alike."""
     if len(set(y.tolist())) < 2:
         return Machine(0.0, None, None)
-    parts = [features(b, o, meta[i:j]) for i, j, b, o in groups(pa.array(texts, pa.string()))]
+    parts = [features(b, o, meta[i:j]) for i, j, b, o in groups(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))]
     rng = np.random.default_rng(seed)
     dim = FIRST_WORD + (1 << WORD_BITS)
     m = Machine(0.0, np.zeros(dim, np.float32), rng.normal(0, 0.02, (dim, RANK)).astype(np.float32))
@@ -134,8 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
     drawn = flat.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     side = sized(drawn, max_train)
     text = ids_and_text(docs, extra=("source", "lang"))
-    rows = text.join(side, "doc_id").select("doc_id", "text", "source", "lang", "y").toPandas().sort_values("doc_id")
-    return fit(rows["text"].tolist(), list(zip(rows["source"].astype(str), rows["lang"].astype(str), strict=True)), rows["y"].to_numpy())
+    rows = text.join(side, "doc_id").select("doc_id", "text", "source", "lang", "y").toArrow().sort_by("doc_id")
+    meta = list(zip(map(str, rows["source"].to_pylist()), map(str, rows["lang"].to_pylist()), strict=True))
+    return fit(rows["text"].combine_chunks() if len(rows) else [], meta, rows["y"].to_numpy())
 
 
 def _batch_scores(model: Machine, batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
