@@ -47,6 +47,13 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
 
 
+def _weighted(lists: tuple, at: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values of the lists of ``at``, each times its w, by place."""
+    ptr, place, value = lists
+    r = _ranges(ptr[at], ptr[at + 1])
+    return np.bincount(place[r], weights=value[r] * np.repeat(w, ptr[at + 1] - ptr[at]), minlength=n)
+
+
 @dataclass
 class Index:
     """Examples that have terms, by block, and what is needed to weigh a query."""
@@ -59,7 +66,8 @@ class Index:
     ptr: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # terms of each example
     col: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    lists: list = field(default_factory=list)  # by term: (blocks, greatest weights)
+    post: tuple = ()  # by term: bounds of its postings; examples; weights
+    tops: tuple = ()  # by term: bounds of its blocks; blocks; greatest weights
     curve: tuple[float, float] = (0.0, 1.0)
 
     @property
@@ -71,25 +79,30 @@ class Index:
         w = (1 + np.log(tf)) * self.idf[at]
         return w / np.sqrt((w * w).sum())
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEAREST, without=None) -> tuple[list[tuple[float, int]], int]:
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEAREST, without: int | None = None) -> tuple[list[tuple[float, int]], int]:
         """([(cosine, example)] of the k nearest with a cosine above 0, blocks visited).
 
         The FIRST blocks by bound give a k-th cosine; of the others those are read
-        whose bounds reach it."""
-        bound = np.zeros(self.n_blocks)
-        for t, x in zip(at.tolist(), w.tolist(), strict=True):
-            blocks, most = self.lists[t]
-            bound[blocks] += x * most
+        whose bounds reach it, or the query's postings, if these are fewer."""
+        bound = _weighted(self.tops, at, w, self.n_blocks)
         dense = np.zeros(len(self.terms))
         dense[at] = w
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound > 0)]
-        first = order[:FIRST]
+        first = np.argsort(-bound, kind="stable")[:FIRST]
+        first = first[bound[first] > 0]
         cos, n = self._cosines(dense, first, without)
         least = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) >= k else 0.0
-        rest = order[FIRST:][bound[order[FIRST:]] >= least - 1e-9]
+        bound[first] = 0
+        rest = np.flatnonzero(bound >= max(least - 1e-9, 1e-12))
         if len(rest):
-            more, m = self._cosines(dense, rest, without)
+            ends = self.ptr[np.minimum((rest + 1) * BLOCK, len(self.ids))]
+            if (ends - self.ptr[rest * BLOCK]).sum() <= (self.post[0][at + 1] - self.post[0][at]).sum():
+                more, m = self._cosines(dense, rest, without)
+            else:  # the terms' postings are shorter than those blocks
+                every = _weighted(self.post, at, w, len(self.ids))
+                every[_ranges(first * BLOCK, np.minimum((first + 1) * BLOCK, len(self.ids)))] = 0
+                m = np.flatnonzero(every >= max(least - 1e-9, 1e-12))
+                m = m if without is None else m[self.ids[m] != without]
+                more = np.round(every[m], 12)
             cos, n = np.concatenate([cos, more]), np.concatenate([n, m])
         if len(cos) > k:
             keep = cos >= np.partition(cos, len(cos) - k)[len(cos) - k]
@@ -177,11 +190,11 @@ def make_index(terms: np.ndarray, df: np.ndarray, n: int, n_toxic: int, examples
     index.ids, index.toxic = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     index.ptr = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])])
     index.col, index.weight = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])
-    block = np.repeat(np.arange(len(rows)), np.diff(index.ptr)) // BLOCK
-    for t in range(len(terms)):
-        at = np.flatnonzero(index.col == t)
-        blocks, start = np.unique(block[at], return_index=True)
-        index.lists.append((blocks, np.maximum.reduceat(index.weight[at], start) if len(at) else np.zeros(0)))
+    by = np.argsort(index.col, kind="stable")
+    col, example, weight = index.col[by], np.repeat(np.arange(len(rows)), np.diff(index.ptr))[by], index.weight[by]
+    index.post = np.searchsorted(col, np.arange(len(terms) + 1)), example, weight
+    edge = np.flatnonzero(np.append(True, (col[1:] != col[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)))
+    index.tops = np.searchsorted(col[edge], np.arange(len(terms) + 1)), example[edge] // BLOCK, np.maximum.reduceat(weight, edge)
     votes, y = [], []
     for k in range(len(rows)):
         at = slice(index.ptr[k], index.ptr[k + 1])
