@@ -10,9 +10,15 @@ weight of the corpus, so that the latent space has their directions.
 Each window of blocks of about an item's length is projected, and is a candidate
 of the item where its cosine reaches ``COSINE`` of what the item has with
 itself in that space (the norm is the whole window's, so that windows of other
-subjects are not blown up). Candidates are confirmed by the longest common
-subsequence of words with the item, and of the item's answer: what follows its
-last "answer:", or else its last quarter.
+subjects are not blown up). A cosine promises no common subsequence, and loses
+short items and thin paraphrases; so a window is also a candidate where it has so
+many of the item's rarer words that a subsequence of ``LCS`` is possible. That is
+exact: without its most frequent words, up to ``COMMON`` of it, an item of n words
+must still have (LCS - COMMON) n in the window. These windows hold every run of
+n + n/4 + 1 words, wherever it begins.
+
+Candidates are confirmed by the longest common subsequence of words with the item,
+and of the item's answer: what follows its last "answer:", or else its last quarter.
 
 One pass counts words, one adds up the sketch, one searches; texts are never
 shuffled. Every window of every text is a query. The items, their vectors and
@@ -37,11 +43,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import U, Words, groups
+from .textkernel import U, Words, groups, ranges
 
 #: Production parameters.
 BITS, RANK, OVER, BLOCK, PASSAGE, MAX_DF = 14, 64, 8, 12, 4, 0.05
 COSINE, LCS, SURE, ANSWER, ANSWER_SHARE, MAX_ITEMS = 0.5, 0.6, 0.8, 0.5, 0.25, 200_000
+COMMON = 0.4
 
 DIM = 1 << BITS
 _PART = 512  # features in a message of the sketch
@@ -198,6 +205,39 @@ class Space:
     sets: list[frozenset]
     answer: list[int]  # where each item's answer begins
     lengths: dict[int, tuple[list[int], np.ndarray]]  # blocks -> (items, scaled vectors)
+    scaled: np.ndarray  # vector of each item
+    rare: Rare
+
+
+@dataclass
+class Rare:
+    """The rarer words of the items, and which items have each."""
+
+    hot: np.ndarray  # by feature: some rarer word has it
+    vocab: np.ndarray  # hashes, sorted
+    ptr: np.ndarray
+    item: np.ndarray
+    dropped: np.ndarray  # words of each item that are left out
+    size: np.ndarray  # words of each item
+    blocks: np.ndarray  # of a window that holds any run of n + n/4 + 1 words
+
+
+def rarer(items: list[list[int]], df: np.ndarray) -> Rare:
+    words, of, dropped = [], [], []
+    for k, item in enumerate(items):
+        own, n = np.unique(np.array(item, U), return_counts=True)
+        order = np.lexsort((own, -df[(own & U(DIM - 1)).astype(np.int64)]))
+        out = int(np.searchsorted(np.cumsum(n[order]), COMMON * len(item), side="right"))
+        dropped.append(int(n[order[:out]].sum()))
+        words.append(own[order[out:]])
+        of.append(np.full(len(own) - out, k))
+    word, item = np.concatenate(words), np.concatenate(of)
+    vocab, at = np.unique(word, return_inverse=True)
+    by = np.argsort(at, kind="stable")
+    hot = np.zeros(DIM, bool)
+    hot[(vocab & U(DIM - 1)).astype(np.int64)] = True
+    size = np.array([len(x) for x in items])
+    return Rare(hot, vocab, np.searchsorted(at[by], np.arange(len(vocab) + 1)), item[by], np.array(dropped), size, -(-(size + size // 4) // BLOCK) + 1)
 
 
 def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Space | None:
@@ -237,7 +277,11 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Space | No
         answers.append(min(cut, size - 1))
     if not ids:
         return None
-    return Space(idf, v, ids, kept, [frozenset(k) for k in kept], answers, {k: ([i for i, _ in x], np.array([q for _, q in x], np.float32)) for k, x in by.items()})
+    lengths = {k: ([i for i, _ in x], np.array([q for _, q in x], np.float32)) for k, x in by.items()}
+    scaled = np.zeros((len(ids), v.shape[1]), np.float32)
+    for at, q in lengths.values():
+        scaled[at] = q
+    return Space(idf, v, ids, kept, [frozenset(k) for k in kept], answers, lengths, scaled, rarer(kept, df))
 
 
 def common_subsequence(item: list[int], window: list[int]) -> int:
@@ -254,7 +298,36 @@ def common_subsequence(item: list[int], window: list[int]) -> int:
     return len(item) - s.bit_count()
 
 
-def _candidates(space: Space, words: Words, cosine: float):
+def _sharing(rare: Rare, words: Words, start: np.ndarray, ptr: np.ndarray, doc: np.ndarray, lcs: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(items, first blocks, end blocks) of all windows with as many of an item's rarer words as lcs needs."""
+    at = np.flatnonzero(rare.hot[_features(words)])
+    w = np.minimum(np.searchsorted(rare.vocab, words.hash[at]), len(rare.vocab) - 1)
+    own = rare.vocab[w] == words.hash[at]
+    at, w = at[own], w[own]
+    n = rare.ptr[w + 1] - rare.ptr[w]
+    item = rare.item[ranges(rare.ptr[w], rare.ptr[w + 1])]
+    block = np.repeat(np.searchsorted(start, at, side="right") - 1, n)
+    # documents, and items, are so far apart that no window reaches from one to the next
+    gap = int(rare.blocks.max())
+    key = np.sort(item * (len(start) + gap * len(ptr)) + block + doc[block] * gap)
+    item, place = np.divmod(key, len(start) + gap * len(ptr))
+    need = np.maximum(np.ceil(lcs * rare.size - 1e-9).astype(np.int64) - rare.dropped, 1)[item]
+    last = np.arange(len(key)) + need - 1  # the hit that makes them enough
+    k = np.flatnonzero(last < len(key))
+    k = k[key[last[k]] < key[k] + rare.blocks[item[k]]]
+    if not len(k):
+        return k, k, k
+    item, size = item[k], rare.blocks[item[k]]
+    d = np.searchsorted(ptr[:-1] + gap * np.arange(len(ptr) - 1), place[k], side="right") - 1
+    low, high = place[last[k]] - d * gap - size + 1, place[k] - d * gap
+    floor, ceiling = ptr[d], np.maximum(ptr[d], ptr[d + 1] - size)
+    low, high = np.clip(low, floor, ceiling), np.clip(high, floor, ceiling)
+    both = np.unique(np.repeat(item, high - low + 1) * len(start) + ranges(low, high + 1))
+    item, first = np.divmod(both, len(start))
+    return item, first, np.minimum(first + rare.blocks[item], ptr[doc[first] + 1])
+
+
+def _candidates(space: Space, words: Words, cosine: float, lcs: float):
     """(document, item, first word, end word, cosine over the item's own) of a group's windows."""
     grid, start, ptr = _grid(words, BLOCK)
     if not len(start):
@@ -275,13 +348,16 @@ def _candidates(space: Space, words: Words, cosine: float):
             sim = near @ q[i : i + 4096].T
             for w, k in zip(*np.nonzero(sim >= cosine), strict=True):
                 yield int(doc[use[w]]), items[i + k], int(start[use[w]]), int(ends[last[w]]), float(sim[w, k])
+    for k, a, b in zip(*(x.tolist() for x in _sharing(space.rare, words, start, ptr, doc, lcs)), strict=True):
+        sim = (sums[b] - sums[a]) @ space.scaled[k] / np.sqrt(max(norms[b] - norms[a], 1e-9))
+        yield int(doc[a]), k, int(start[a]), int(ends[b]), float(sim)
 
 
 def leaks_of(space: Space, words: Words, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER) -> dict[tuple[int, int], tuple]:
     """Confirmed leaks of a group: (document, item) -> (lcs share, answer share, cosine, first word, words)."""
     best: dict[tuple[int, int], tuple] = {}
     hashes = None
-    for d, k, a, b, sim in _candidates(space, words, cosine):
+    for d, k, a, b, sim in _candidates(space, words, cosine, lcs):
         if hashes is None:
             hashes = words.hash.tolist()
         item, cut = space.words[k], space.answer[k]

@@ -46,6 +46,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[0], _tables[1]
 
 
+def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The whole numbers of each range, one range after the other."""
+    size = end - start
+    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)

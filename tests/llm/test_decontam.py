@@ -144,3 +144,34 @@ def test_sketch_is_the_product(spark):
     a = np.array(rows)
     assert n == len(rows) and (counts == df).all()
     assert np.allclose(decontam.sketch(d, idf, width), a.T @ (a @ decontam._test_matrix(width)), rtol=1e-3, atol=1e-3)
+
+
+def test_recall_by_item_length(spark):
+    """Of all pairs that plain subsequences confirm in some window, whatever the item's length."""
+    r = random.Random(8)
+    common = ["the", "of", "and", "to", "in", "is"]
+    word = lambda: r.choice(common) if r.random() < 0.35 else r.choice("bcdfg") + r.choice("aeiou") + str(r.randint(0, 300))
+    sizes = [(3, 6), (7, 12), (13, 19), (20, 29), (30, 63)]
+    bench = [(i, " ".join(word() for _ in range(r.randint(*sizes[i % len(sizes)])))) for i in range(25)]
+    docs, pairs = [], []
+    for k, q in bench:
+        for _ in range(24):
+            keep = r.choice([0.65, 0.7, 0.75, 0.8, 1])
+            v, w = [x if r.random() < keep else word() for x in q.split()], [word() for _ in range(r.randint(20, 200))]
+            at = r.randint(0, len(w))
+            w[at:at] = v
+            pairs.append((len(docs), k))
+            docs.append((len(docs), " ".join(w)))
+    got = {(x.doc_id, x.item_id) for x in leaks(*frames(spark, docs, bench)).collect()}
+    texts, items = dict(docs), dict(bench)
+    for low, high in sizes:
+        want = set()
+        for i, k in pairs:
+            w, v = texts[i].split(), items[k].split()
+            n, cut = len(v), len(v) - max(1, round(len(v) * decontam.ANSWER_SHARE))
+            for p in range(max(1, len(w) - n - n // 4) if low <= n <= high else 0):
+                there = w[p : p + n + n // 4 + 1]
+                share = common_subsequence(v, there) / n
+                if share >= SURE or share >= LCS and common_subsequence(v[cut:], there) >= decontam.ANSWER * (n - cut):
+                    want.add((i, k))
+        assert len(want) >= 60 and len(want & got) >= 0.9 * len(want)
