@@ -14,7 +14,9 @@ that the examples get from each other, makes votes probabilities. Each document
 is a query, with its whole text; a labelled document is no neighbour of itself.
 
 Training is bounded: ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled rows, drawn by hash
-of the id. Searching is one pass without a shuffle; the index that is broadcast
+of the id. The bounds change the classes' ratio, so a drawn row stands for as many
+labelled ids as its class has to a row drawn (the weights have the mean 1): in the
+chi-square, idf, votes, the prior's rate and the curve. Searching is one pass without a shuffle; the index that is broadcast
 is bounded by the examples.
 
 Defined cases: null or empty texts, and those without a term, have no neighbours
@@ -69,6 +71,8 @@ class Index:
     post: tuple = ()  # by term: bounds of its postings; examples; weights
     tops: tuple = ()  # by term: bounds of its blocks; blocks; greatest weights
     curve: tuple[float, float] = (0.0, 1.0)
+    weights: tuple[float, float] = (1.0, 1.0)  # of a clean example, and of a toxic one
+    prior: float = 0.0  # rate of toxic among the labels
 
     @property
     def n_blocks(self) -> int:
@@ -124,8 +128,8 @@ class Index:
         return cos[good], n[good]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        whole = sum(c for c, _ in near)
-        return (sum(c for c, n in near if self.toxic[n]) + PRIOR * self.rate) / (whole + PRIOR)
+        whole = sum(c * self.weights[self.toxic[n]] for c, n in near)
+        return (sum(c * self.weights[1] for c, n in near if self.toxic[n]) + PRIOR * self.prior) / (whole + PRIOR)
 
     def probability(self, vote: float) -> float:
         a, b = self.curve
@@ -172,12 +176,13 @@ def _calibrate(votes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
     return float(c[0]), float(max(c[1], 0.1))
 
 
-def make_index(terms: np.ndarray, df: np.ndarray, n: int, n_toxic: int, examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
-    """examples: (doc_id, toxic, terms, occurrences) of those that have terms; n: of all."""
+def make_index(terms: np.ndarray, df: np.ndarray, n: int, n_toxic: int, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weights: tuple[float, float] = (1.0, 1.0)) -> Index:
+    """examples: (doc_id, toxic, terms, occurrences) of those that have terms; n: of all;
+    weights: of a clean and of a toxic one, with the mean 1, which df has in it."""
     order = np.argsort(terms)
     place = np.empty(len(terms), np.int64)
     place[order] = np.arange(len(terms))
-    index = Index(terms[order], np.log((1 + n) / (1 + df[order])) + 1, n_toxic / max(n, 1))
+    index = Index(terms[order], np.log((1 + n) / (1 + df[order])) + 1, n_toxic / max(n, 1), weights=weights, prior=n_toxic * weights[1] / max(n, 1))
     rows = []
     for i, y, at, tf in examples:
         at = place[at]
@@ -202,7 +207,8 @@ def make_index(terms: np.ndarray, df: np.ndarray, n: int, n_toxic: int, examples
         y.append(int(index.toxic[k]))
     # the examples without terms all have the prior's vote
     bare = n_toxic - sum(y), n - n_toxic - (len(y) - sum(y))
-    votes, y, weight = [*votes, index.rate, index.rate], [*y, 1, 0], np.array([1.0] * len(y) + [float(max(b, 0)) for b in bare])
+    weight = np.array([weights[k] for k in y] + [max(b, 0) * w for b, w in zip(bare, (weights[1], weights[0]), strict=True)])
+    votes, y = [*votes, index.prior, index.prior], [*y, 1, 0]
     index.curve = _calibrate(np.array(votes), np.array(y), weight)
     return index
 
@@ -232,17 +238,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     one = flat.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = lambda y, n: one.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     drawn = store(draw(1, max_toxic).unionByName(draw(0, max_clean)), "toxic-examples")
+    labelled, taken = ({r.toxic: r["count"] for r in x.groupBy("toxic").count().collect()} for x in (one, drawn))
     texts = ids_and_text(docs).join(sized(drawn, max_toxic + max_clean), "doc_id")
     words = store(_example_words(texts), "example-words")
     sizes = {r.toxic: r.n for r in words.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
     n1, n = sizes[1], sizes[0] + sizes[1]
-    by = store(words.groupBy("h").agg(F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("df")), "word-counts")
+    of = [labelled[y] / taken[y] for y in (0, 1)]
+    w0, w1 = (x * n / (sizes[0] * of[0] + n1 * of[1]) for x in of)
+    m1 = n1 * w1
+    by = store(words.groupBy("h").agg((F.sum("toxic") * F.lit(w1)).alias("a"), (F.sum("toxic") * F.lit(w1) + F.sum(1 - F.col("toxic")) * F.lit(w0)).alias("df")), "word-counts")
     limit = chi_limit(alpha, by.count())
     b, a, df = F.col("df") - F.col("a"), F.col("a"), F.col("df")
-    chi = n * F.pow(a * (n - n1 - b) - b * (n1 - a), F.lit(2.0)) / (df * (n - df) * n1 * (n - n1))
-    rising = (df < n) & (a * (n - n1) > b * n1)
+    chi = n * F.pow(a * (n - m1 - b) - b * (m1 - a), F.lit(2.0)) / (df * (n - df) * m1 * (n - m1))
+    rising = (df < n - 1e-6) & (a * (n - m1) > b * m1)
     terms = by.filter(rising).filter(chi > limit).select("h", "df").orderBy("h").toPandas()
     if terms.empty:
         return None
@@ -251,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     side = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in at], "h long"))
     rows = words.join(side, "h").groupBy("doc_id", "toxic").agg(F.collect_list("h").alias("hs"), F.collect_list("tf").alias("tfs")).orderBy("doc_id").collect()
     examples = [(r.doc_id, r.toxic, np.array([at[h] for h in r.hs]), np.array(r.tfs)) for r in rows]
-    return make_index(hashes, terms["df"].to_numpy(), n, n1, examples)
+    return make_index(hashes, terms["df"].to_numpy(), n, n1, examples, (w0, w1))
 
 
 _SCHEMA = "doc_id long, toxicity double, vote double, n_neighbours long, evidence string"

@@ -97,3 +97,23 @@ def test_defined_cases(spark):
 
 def test_limit_grows_with_the_words():
     assert 10 < toxicity.chi_limit(0.01, 10) < toxicity.chi_limit(0.01, 100_000) < 35
+
+
+def test_bounds_keep_the_class_ratio(spark):
+    """With both bounds reached, probabilities still mean the ratio of all labels."""
+    r = random.Random(9)
+    docs, labels = [], []
+    for i in range(2700):
+        y = int(i % 9 == 0)
+        w = [r.choice("bcdfghklm") + r.choice("aeiou") + str(r.randint(0, 60)) for _ in range(r.randint(5, 40))]
+        if r.random() < (0.9 if y else 0.1):
+            w.insert(r.randint(0, len(w)), r.choice(BAD))
+        docs.append((i, " ".join(w)))
+        labels.append((i, y))
+    d, lab = frames(spark, docs, labels)
+    whole, index = fit(d, lab), fit(d, lab, max_toxic=150, max_clean=300)
+    p, q = ({x.doc_id: x.toxicity for x in score(d, k).collect()} for k in (whole, index))
+    rate = np.mean([y for _, y in labels])
+    assert abs(np.mean(list(p.values())) - rate) < 0.2 * rate
+    assert abs(np.mean(list(q.values())) - rate) < 0.2 * rate
+    assert whole.weights == (1.0, 1.0) and abs(index.prior - rate) < 1e-9
