@@ -28,8 +28,8 @@ the corpus, and ``MAX_ITEMS`` is checked.
 Defined cases: null or empty text has no windows; a text shorter than a window
 is a window; items without words, or of null item_id, are left out, items of equal
 text are each reported; no items, no leaks; words that are in more than
-``MAX_DF`` of the passages carry no weight (an item of such words only is left
-out); repeated rows are reported once for each doc_id (the best window stands,
+``MAX_DF`` of the passages carry no weight (an item of such words only has no
+cosine, 0, and is found by its words alone); repeated rows are reported once for each doc_id (the best window stands,
 ties to the first); rows without doc_id are not reported, and kept by ``drop``
 unless they leak. Other columns are ignored, or passed through by ``drop``.
 """
@@ -265,13 +265,14 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Space | No
         norm = np.sqrt((idf[f[a:b]] ** 2).sum())
         q = v[f[a:b]].sum(0)
         own_sim = float(q @ q)
-        if norm == 0 or own_sim <= 1e-12:
+        if a == b:
             continue
         text = (r.text or "").encode()
         local = text.lower().rfind(_ANSWER.encode() + b":")
         size = b - a
         cut = int(np.searchsorted(words.starts[a:b] - offs[i], local + len(_ANSWER) + 1)) if local >= 0 else size - max(1, round(size * ANSWER_SHARE))
-        by.setdefault(-(-size // BLOCK) + 1, []).append((len(ids), q * (norm / own_sim)))
+        if norm > 0 and own_sim > 1e-12:
+            by.setdefault(-(-size // BLOCK) + 1, []).append((len(ids), q * (norm / own_sim)))
         ids.append(r.item_id)
         kept.append(words.hash[a:b].tolist())
         answers.append(min(cut, size - 1))

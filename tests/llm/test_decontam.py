@@ -175,3 +175,11 @@ def test_recall_by_item_length(spark):
                 if share >= SURE or share >= LCS and common_subsequence(v[cut:], there) >= decontam.ANSWER * (n - cut):
                     want.add((i, k))
         assert len(want) >= 60 and len(want & got) >= 0.9 * len(want)
+
+
+def test_items_of_words_without_weight(spark):
+    """An item in more than MAX_DF of the passages is reported too."""
+    item = " ".join(f"q{i}" for i in range(20))
+    docs = [(i, item if i < 3 else " ".join(f"z{i}x{j}" for j in range(30))) for i in range(12)]
+    got = leaks(*frames(spark, docs, [(7, item)])).collect()
+    assert sorted((r.doc_id, r.item_id, r.lcs_share, r.cosine) for r in got) == [(i, 7, 1.0, 0.0) for i in range(3)]
