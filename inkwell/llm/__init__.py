@@ -1,5 +1,5 @@
 """Training-data operators.
 
-Nothing outside this package imports it, and it imports nothing of the rest.
+Nothing outside this package imports it; of the rest it imports ``sources.storage``.
 On a cluster, ship the package with ``--py-files`` or an installed wheel.
 """

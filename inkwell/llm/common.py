@@ -1,14 +1,21 @@
-"""Spark helpers shared by the operators: shared storage, sized broadcasts, ids."""
+"""Spark helpers shared by the operators: sized broadcasts, ids, columns, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of ids (8 bytes and overhead each) up to which a side is broadcast.
+from ..sources.storage import keep, new_path, remove_path, scratch
+from ..sources.storage import shared_folder as shared_dir
+from ..sources.storage import written as store
+
+__all__ = ["bare_columns", "components", "doc_key", "ids_and_text", "keep", "mapped", "new_path", "place", "remove_path", "scratch", "session", "shared_dir", "sized", "store", "text_of"]
+
+#: Ids (8 bytes and overhead each) up to which a side is broadcast.
 BROADCAST_IDS = 1_000_000
 
 
@@ -16,82 +23,101 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: the session's spark.checkpoint.dir.
+def sized(ids: DataFrame, limit: int = BROADCAST_IDS, weight: Column | None = None) -> DataFrame:
+    """The frame with a broadcast hint if its rows (or the sum of ``weight``, for rows with
+    arrays) are counted to be few, else as it is: Spark then plans a shuffled join. Pass a
+    frame that is cheap to count."""
+    n = ids.limit(limit + 1).count() if weight is None else ids.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(ids) if n <= limit else ids
 
-    Where that setting is absent (tests, a laptop) a temporary folder is made
-    once per application and set as the checkpoint folder.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="inkwell-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+def place(df: DataFrame, name: str) -> int | None:
+    """Where the column is, by Spark's rules on case; None where there is none. Two of the
+    name are an error, as they are to Spark."""
+    same = (lambda c: c == name) if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true" else (lambda c: c.lower() == name.lower())
+    found = [i for i, c in enumerate(df.columns) if same(c)]
+    if len(found) > 1:
+        raise ValueError(f"columns {[df.columns[i] for i in found]} are all {name!r}")
+    return found[0] if found else None
+
+
+def bare_columns(df: DataFrame) -> DataFrame:
+    """The frame with its columns named c0, c1, .. by place."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/inkwell/{tag}-{uuid.uuid4().hex}"
+def doc_key(col: str = "doc_id") -> Column:
+    """The id as a whole number; ids that are none (texts such as "a") count as null."""
+    return F.col(col).try_cast("long")
 
 
-def store(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and reread: cuts lineage and survives executors."""
-    spark = session(df)
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def text_of(df: DataFrame, name: str) -> Column:
+    """Column ``name`` of ``bare_columns(df)`` as a string; nulls where there is no such column."""
+    at = place(df, name)
+    return F.lit(None).cast("string") if at is None else F.col(f"c{at}").cast("string")
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def mapped(docs: DataFrame, names: list[str], change: Callable[[list[pa.Array], pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """All columns of docs after ``change(columns of the names as strings, rows)``, batch by
+    batch. Columns go by place, so that any other column may have any name, twice too; a
+    named column that is not there is all null, but for text, without which there is no work."""
+    if place(docs, "text") is None:
+        raise ValueError("there is no column text")
+    flat = bare_columns(docs)
+    n = len(names)
 
+    def run(batches: Iterator[pa.RecordBatch]):
+        for x in batches:
+            rows = pa.RecordBatch.from_arrays(x.columns[n:], x.schema.names[n:])
+            yield change(x.columns[:n], rows)
 
-def sized(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """The frame with a broadcast hint if its counted rows are few, else as it is
-    (Spark then plans a shuffled join). Pass a frame that is cheap to count."""
-    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+    wanted = [text_of(docs, c).alias(f"w{i}") for i, c in enumerate(names)]
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema.fields)])
+    return flat.select(*wanted, *flat.columns).mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def ids_and_text(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, *extra as strings), one row for each id that is not null.
+    """(doc_id, text, *extra as strings), one row for each id that is a whole number.
 
     Null text counts as empty. Rows that share an id are one document, for
     which the least (text, *extra) stands; only those rows are shuffled.
     """
-    key = F.col("doc_id").cast("long").alias("doc_id")
-    flat = docs.select(key, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).cast("string").alias(c) for c in extra)).filter("doc_id is not null")
+    key = doc_key().alias("doc_id")
+    more = [F.col(c).cast("string").alias(c) if place(docs, c) is not None else F.lit(None).cast("string").alias(c) for c in extra]
+    flat = docs.select(key, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more).filter("doc_id is not null")
     again = docs.select(key).filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return flat
-    again = store(again, "repeated-ids")
+    again = keep(again, "repeated-ids")
     side = sized(again)
     one = flat.join(side, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *extra)).alias("_least")).select("doc_id", "_least.*")
     return flat.join(side, "doc_id", "left_anti").unionByName(one)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): least id of each connected component of (a, b).
+    """(node, component): least id of each connected component of (a, b); nodes of edges only.
 
-    Alternates min-label hooking to neighbours with pointer jumping, so chains
-    need a logarithmic number of rounds; each round is a written table.
+    Large stars and small stars in turn: each node's greater neighbours are hung
+    on the least of its neighbourhood, then its lesser ones, until nothing moves,
+    in a logarithmic number of rounds, each of them a written table. Least
+    neighbours are found by aggregation and joined back, so a node of very many
+    neighbours is in no one task.
     """
     spark = session(edges)
-    both = store(edges.select(F.col("a"), F.col("b")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    label = store(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("node"), "l"), "labels")
-    while True:
-        near = both.join(label.select(F.col("node").alias("b"), F.col("l").alias("nl")), "b").select(F.col("a").alias("node"), "nl")
-        # hook the old root as well: all that pointed there moves in the next jump
-        low = label.select("node", F.col("l").alias("nl")).unionByName(near).groupBy("node").agg(F.min("nl").alias("m"))
-        moved = low.join(label, "node").select("node", "l", "m")
-        roots = moved.groupBy(F.col("l").alias("node")).agg(F.min("m").alias("m"))
-        hooked = low.unionByName(roots).groupBy("node").agg(F.min("m").alias("m"))
-        up = hooked.select(F.col("node").alias("m"), F.col("m").alias("mm"))
-        jumped = hooked.join(up, "m", "left").select("node", F.least("m", F.coalesce("mm", "m")).alias("l2"))
-        after = store(jumped.join(label, "node").select("node", F.col("l2").alias("l"), (F.col("l2") < F.col("l")).alias("changed")), "labels")
-        label = after.select("node", "l")
-        if after.filter("changed").isEmpty():
-            return label.select("node", F.col("l").alias("component"))
+    mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    with scratch(spark):
+        e = store(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+        was = mark(e)
+        while True:
+            both = e.select(F.col("u").alias("n"), F.col("v").alias("x")).unionByName(e.select(F.col("v").alias("n"), F.col("u").alias("x")))
+            least = both.groupBy("n").agg(F.least(F.min("x"), F.col("n")).alias("m"))
+            large = store(both.filter("x > n").join(least, "n").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            e = store(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+            now = mark(e)
+            if now == was:
+                break
+            was = now
+        out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return keep(out.unionByName(out.select(F.col("component").alias("node"), "component").distinct()), "components")
