@@ -48,7 +48,7 @@ def windows(docs: DataFrame, spots: DataFrame, least: int = LEAST, k: int = K) -
     """(h, doc_id, pos) of each run of ``least`` words that holds the k words at one of
     the spots (doc_id, pos)."""
     spots = store(spots.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "spots")
-    some = docs.join(sized(spots.select("doc_id")), "doc_id", "left_semi").join(sized(spots), "doc_id")
+    some = docs.join(sized(spots.select("doc_id")), "doc_id", "left_semi").join(sized(spots, weight=F.size("at")), "doc_id")
 
     def run(batches):
         for x in batches:
@@ -127,6 +127,10 @@ def resolve(docs: DataFrame, pairs: DataFrame, all_anchors: DataFrame, choose, k
     does. So where a partner shares fewer than ``least`` words, every occurrence
     of that anchor gives all runs of ``least`` words around it, and ``choose``
     pairs those: equal runs are the whole passage, so any partner will do.
+
+    Every document of a shared passage is found so. Of its words the spans may
+    leave out up to k at either edge, where a spot's partner shares ``least``
+    words and a third document shares more.
     """
     found = verify(docs, pairs, k, least)
     spans = found.filter("missed is null").drop("missed")
