@@ -7,7 +7,7 @@ import pytest
 
 from inkwell.llm.spans import LEAST, extend
 from inkwell.llm.substring_dedup import FingerprintIndex, dedup_substrings
-from inkwell.llm.suffix_dedup import dedup_suffixes
+from inkwell.llm.suffix_dedup import dedup_suffixes, neighbours
 
 
 def windows(docs):
@@ -97,7 +97,7 @@ def test_batches_and_manifest(spark):
     again = FingerprintIndex(spark, fanout=2, manifest=first.manifest())
     got |= {r.doc_id for r in again.add(texts.filter("doc_id > 90"), texts).collect()}
     assert got == whole and half
-    assert [r[0] for r in again.runs] == [1]
+    assert [r.level for r in again.runs] == [1]
     assert again.add(texts.filter("false"), texts).count() == 0
 
 
@@ -119,3 +119,43 @@ def test_extend_reads_words():
     assert extend(a, b, [(1, 1, 7)], 2, 3) == ([(1, 4, 1)], [])
     assert extend(a, b, [(1, 1, 7)], 2, 4) == ([], [7])
     assert extend(a, b, [(0, 0, 7)], 2, 3) == ([], [7])
+
+
+def test_every_suffix_has_a_neighbour_wherever_ranges_end(spark):
+    """Anchors of one document have none; all others meet another document, at most one
+    document off in the order, whatever the ranges; batches are cut to three rows."""
+    r = random.Random(6)
+    rows = sorted({(r.choice([5, 5, 5, 7, 8, 9, 10 + i]), r.randint(0, 1), r.randint(0, 6), i) for i in range(300)})
+    frame_ = spark.createDataFrame([(h, c, d, p) for h, c, d, p in rows], "h long, c1 long, doc_id long, pos int")
+    docs_of = defaultdict(set)
+    for h, _, d, _ in rows:
+        docs_of[h].add(d)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for n in (1, 3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            got = neighbours(frame_, ["c1"]).collect()
+            held = {(x[0], x[2], x[3]) for x in rows}
+            assert all((g.h, g.other_doc_id, g.other_pos) in held and g.other_doc_id != g.doc_id for g in got)
+            assert len(got) == len({(g.h, g.doc_id, g.pos) for g in got})
+            assert {(g.h, g.doc_id, g.pos) for g in got} == {(h, d, p) for h, _, d, p in rows if len(docs_of[h]) > 1}
+            if n == 1:
+                near = {(g.h, g.doc_id, g.pos): (g.other_doc_id, g.other_pos) for g in got}
+                for h in docs_of:
+                    own = [(d, p) for x, _, d, p in rows if x == h]
+                    for i, (d, p) in enumerate(own):
+                        back = next((o for o in reversed(own[:i]) if o[0] != d), None)
+                        ahead = next((o for o in own[i:] if o[0] != d), None)
+                        assert near.get((h, d, p)) == (back or ahead)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_ids_that_are_no_numbers_are_left_out(spark):
+    passage = " ".join(f"p{i}" for i in range(70))
+    d = spark.createDataFrame([("1", passage), ("2", passage), ("x", passage), (None, passage)], "doc_id string, text string")
+    assert {r.doc_id for r in dedup_substrings(d).collect()} == {2}
+    assert {r.doc_id for r in dedup_suffixes(d).collect()} == {1, 2}
