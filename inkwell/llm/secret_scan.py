@@ -11,8 +11,9 @@ not overlap (the earlier, then the more specific rule, then the longer one
 stands, and a private key before all); secrets have no greatest length, and a private
 key goes to its END line, or without one, to the end of its headers and base64; the
 entropy of a value is that of its first 256 characters; repeated rows and repeated secrets are reported each; rows without
-doc_id are reported with a null id. Other columns are ignored, or passed through
-by ``redact``, whose n_chars, if there is one, is made to fit the new text.
+doc_id, or with one that is no whole number, are reported with a null id. Other
+columns, whatever their names, are ignored, or passed through by ``redact``,
+whose n_chars, if there is one, is made to fit the new text.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ from collections import Counter
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import doc_key, mapped, place
+
 _B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -155,31 +159,28 @@ def scan(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in _SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return docs.select(doc_key().alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns; each secret in text gives way to [REDACTED:rule]."""
-
-    def run(batches):
-        for x in batches:
-            at = x.schema.get_field_index("text")
-            texts, changed = x.column(at).to_pylist(), False
-            for k, t in enumerate(texts):
-                spots = find(t) if t else ()
-                if spots:
-                    changed, out, done = True, [], 0
-                    for s, e, r in spots:
-                        out += [t[done:s], f"[REDACTED:{RULES[r][0]}]"]
-                        done = e
-                    texts[k] = "".join([*out, t[done:]])
-            if changed:
-                new = pa.array(texts, x.column(at).type)
-                n = x.schema.get_field_index("n_chars")
-                differs = pc.not_equal(pc.fill_null(new, ""), pc.fill_null(x.column(at), ""))
-                x = x.set_column(at, x.schema.field(at), new)
-                if n >= 0:
-                    x = x.set_column(n, x.schema.field(n), pc.if_else(differs, pc.utf8_length(new).cast(x.schema.field(n).type), x.column(n)))
-            yield x
-
-    return docs.mapInArrow(run, docs.schema)
+    at, n = place(docs, "text"), place(docs, "n_chars")
+
+    def change(read, x):
+        texts, changed = read[0].to_pylist(), np.zeros(len(read[0]), dtype=bool)
+        for k, t in enumerate(texts):
+            spots = find(t) if t else ()
+            if spots:
+                changed[k], out, done = True, [], 0
+                for s, e, r in spots:
+                    out += [t[done:s], f"[REDACTED:{RULES[r][0]}]"]
+                    done = e
+                texts[k] = "".join([*out, t[done:]])
+        if changed.any():
+            new = pa.array(texts, pa.string())
+            x = x.set_column(at, x.schema.field(at), new.cast(x.column(at).type))
+            if n is not None:
+                x = x.set_column(n, x.schema.field(n), pc.if_else(pa.array(changed), pc.utf8_length(new).cast(x.column(n).type), x.column(n)))
+        return x
+
+    return mapped(docs, ["text"], change)

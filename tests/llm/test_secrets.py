@@ -92,3 +92,14 @@ def test_nothing_of_a_secret_is_left(spark):
         assert len(t) < 60 and t.count("[REDACTED:") == 1 and t.endswith(" After, that"), (i, t[:200])
     two = "-----BEGIN PRIVATE KEY----- is a header, see: " + secrets[3]
     assert [x for x in names(two)][-1] == ("private_key", secrets[3]) and len(names(two)) == 2
+
+
+def test_redaction_finds_its_column_as_spark_does(spark):
+    key = "token = " + "a1b2c3d4e5" * 60
+    d = spark.createDataFrame([("x", key, 5, 5, "keep me")], "doc_id string, TEXT string, N_Chars int, c1 int, last string")
+    got = redact(d)
+    row = got.first()
+    assert got.columns == d.columns and row.TEXT == "token = [REDACTED:assigned_secret]" and row.N_Chars == len(row.TEXT) and row.c1 == 5 and row.last == "keep me"
+    assert [r.doc_id for r in scan(d).collect()] == [None]
+    twice = d.select("doc_id", d.TEXT.alias("text"), d.c1.alias("a"), d.c1.alias("a"))
+    assert redact(twice).columns == ["doc_id", "text", "a", "a"] and redact(twice).first()[1] == row.TEXT
