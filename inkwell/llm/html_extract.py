@@ -11,7 +11,8 @@ the text); short lines between those stay. One pass, no shuffle, whole pages.
 
 Defined cases: null or empty html, and pages without text, give an empty text;
 unclosed and unknown tags are tolerated as the parser does; script, style,
-template, noscript and head but its title are never text; equal ratios are
+template, noscript, iframe, svg and head but its title are never text, up to
+their end tags (template, noscript, iframe or svg without an end tag hide nothing); equal ratios are
 treated alike, so a page of one line, or of equal lines, is content; repeated
 rows and rows without page_id give a row each. Other columns are ignored.
 """
@@ -34,13 +35,16 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 
 
 class _Lines(HTMLParser):
-    def __init__(self):
+    def __init__(self, html: str = ""):
         super().__init__(convert_charrefs=True)
+        low = html.lower()
+        #: End tags that are still to come, and open elements that hide text, by tag.
+        self.ends = {t: low.count("</" + t) for t in _MUTE}
+        self.hides = dict.fromkeys(_MUTE, 0)
         self.lines: list[str] = []
         self.tags: list[int] = []
         self.parts: list[str] = []
         self.count = 0
-        self.mute = 0
         self.head = self.in_title = False
         self.title: list[str] = []
 
@@ -52,7 +56,7 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in _MUTE:
-            self.mute += 1
+            self.hides[tag] += self.ends[tag] > self.hides[tag]
         elif tag in _BLOCK:
             self.flush()
             self.head = False
@@ -70,7 +74,8 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag):
         self.count += 1
         if tag in _MUTE:
-            self.mute = max(0, self.mute - 1)
+            self.ends[tag] -= 1
+            self.hides[tag] = max(0, self.hides[tag] - 1)
         elif tag in _BLOCK and tag not in _VOID:
             self.flush()
         elif tag == "head":
@@ -81,7 +86,7 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         if self.in_title:
             self.title.append(data)
-        elif not self.mute and not self.head:
+        elif not self.head and not any(self.hides.values()):
             if "\n" in data:
                 first, *rest = data.split("\n")
                 self.parts.append(first)
@@ -104,7 +109,7 @@ def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 def extract(html: str, sigma: float = SIGMA, spread: float = SPREAD) -> tuple[str, str, int, int, int]:
     """(title, content, lines, content lines, regions)."""
-    p = _Lines()
+    p = _Lines(html)
     p.feed(html)
     p.close()
     p.flush()
@@ -140,4 +145,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [c.split()[0] for c in _SCHEMA.split(", ")])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, _SCHEMA)
+    return pages.select(F.col("page_id").try_cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, _SCHEMA)
