@@ -10,14 +10,14 @@ import pytest
 from inkwell.llm import line_rules, mixing
 
 
-def clean(docs, min_docs, share, left):
+def clean(docs, min_docs, share, left, most=1000):
     norm = lambda x: re.sub("[ \t\r]+", " ", x).strip(" ").lower()
     hosts, held = Counter(h or "" for _, _, h in docs), defaultdict(set)
     for i, t, h in docs:
         for x in (t or "").split("\n"):
             if norm(x):
                 held[h or "", norm(x)].add(i)
-    cut = {k for k, v in held.items() if len(v) > min_docs and len(v) > share * hosts[k[0]]}
+    cut = {k for k, v in held.items() if len(v) > min_docs and len(v) > min(share * hosts[k[0]], most)}
     out = {}
     for i, t, h in docs:
         ls = (t or "").split("\n")
@@ -40,6 +40,15 @@ def test_lines(spark, seed):
     d = spark.createDataFrame([(i, t, h, 1, 2) for i, t, h in docs], "doc_id long, text string, source string, host int, h int")
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_rules.clean_lines(d, min_docs=4, share=0.05).collect()}
     assert got == clean(docs, 4, 0.05, line_rules.LEAST_LEFT)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_rules.clean_lines(d, min_docs=4, share=0.9, max_docs=20).collect()}
+    assert got == clean(docs, 4, 0.9, line_rules.LEAST_LEFT, 20) != clean(docs, 4, 0.9, line_rules.LEAST_LEFT)
+
+
+def test_lines_at_the_limit_stay(spark):
+    rows = [(i, "just enough\n" + f"own line of {i}", "h") for i in range(4)] + [(9, "other text", "h")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.n_removed for r in line_rules.clean_lines(d, min_docs=4).collect()} == {0}
+    assert sum(r.n_removed for r in line_rules.clean_lines(d, min_docs=3).collect()) == 4
 
 
 def test_lines_odd_input(spark):
@@ -72,10 +81,12 @@ def test_targets_are_met(spark):
     assert ((got.copies - got.rate).abs() < 1).all()
 
 
-def test_the_solution_is_the_exponential_tilt(spark):
-    """A dense Newton solver of the same dual, in numpy, gives the same rates."""
+@pytest.mark.parametrize("local", [0, mixing.LOCAL_COUNTS])
+def test_the_solution_is_the_exponential_tilt(spark, monkeypatch, local):
+    """The rates are a tilt of that form, and meet the targets; the driver's sums are those of the aggregation."""
+    monkeypatch.setattr(mixing, "LOCAL_COUNTS", local)
     rows, d = table(spark, 2, 600)
-    facts = d.select(*mixing._facts(d))
+    facts = mixing._facts(d)
     b = mixing.balance(facts)
     p = facts.toPandas()
     p = p[p.tokens > 0]
@@ -93,8 +104,44 @@ def test_mixing_odd_input(spark):
     got = mixing.rates(d).collect()
     assert len(got) == 6 and all(r.rate >= 0 and r.copies >= 0 for r in got)
     assert len({r.copies for r in got if r.doc_id == 3}) == 1
+    assert mixing.mix(d.select("text", "doc_id")).columns == ["text", "doc_id", "mix_copies"]
+    twice = d.select("doc_id", d.text.alias("TEXT"), "source", "lang", d.tokens.alias("c0"), d.tokens.alias("c0"))
+    assert mixing.mix(twice).columns == [*twice.columns, "mix_copies"] and mixing.mix(twice).count() == mixing.mix(d).count()
     out = mixing.mix(d)
     assert out.columns == d.columns and all(r.mix_copies > 0 for r in out.collect())
     assert mixing.rates(d.filter("false")).count() == 0 and mixing.mix(d.filter("false")).count() == 0
     bare = mixing.rates(d.filter("doc_id = 1")).first()
     assert bare.tokens == 0 and bare.rate == 1.0
+
+
+def test_targets_that_cannot_be_met(spark):
+    """Source a is all English, b all German: the languages' shares are the sources'."""
+    rows = [(i, "w " * (1 + i % 7), "ab"[i % 2], ("en", "de")[i % 2]) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    with pytest.raises(ValueError, match="off by 0.[3-9]"):
+        mixing.rates(d, source_targets={"a": 0.9, "b": 0.1}, lang_targets={"en": 0.1, "de": 0.9})
+    uneven = d.filter("source = 'a' or doc_id < 20")
+    with pytest.warns(UserWarning, match="sources' stand"):
+        got = mixing.rates(uneven).toPandas()
+    whole = got.tokens.groupby(got.source).sum() / got.tokens.sum()
+    want = whole**mixing.SOURCE_POWER / (whole**mixing.SOURCE_POWER).sum()
+    have = (got.rate * got.tokens).groupby(got.source).sum() / (got.rate * got.tokens).sum()
+    assert np.allclose(have[want.index], want, atol=1e-4)
+
+
+def test_targets_of_zero(spark):
+    rows, d = table(spark, 3, 800)
+    got = mixing.rates(d, source_targets={"web": 0.5, "books": 0.5, "code": 0, "": 0}).toPandas()
+    assert (got.rate[got.source.isin(["code", ""])] == 0).all() and (got.copies[got.source == "code"] == 0).all()
+    tokens = (got.rate * got.tokens).groupby(got.source).sum()
+    assert abs(tokens["web"] - tokens["books"]) < 1e-3 * tokens["web"] and abs(tokens.sum() / got.tokens.sum() - 1) < 1e-3
+    for bad in ({"web": -1.0}, dict.fromkeys(["web", "books", "code", ""], 0)):
+        with pytest.raises(ValueError, match="targets"):
+            mixing.rates(d, source_targets=bad)
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 11), f"host{i % 3000}", "en" if i % 7 else "de") for i in range(9000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    b = mixing.balance(mixing._facts(d))
+    assert len(b.sources) == 3000 and b.gap < 1e-6
