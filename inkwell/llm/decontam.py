@@ -21,21 +21,27 @@ Candidates are confirmed by the longest common subsequence of words with the ite
 and of the item's answer: what follows its last "answer:", or else its last quarter.
 
 One pass counts words, one adds up the sketch, one searches; texts are never
-shuffled. Every window of every text is a query. The items, their vectors and
-the space (2**BITS rows) are broadcast: they grow with the benchmark, not with
-the corpus, and ``MAX_ITEMS`` is checked.
+shuffled. Every window of every text is a query. The items' vectors lie in cells
+of about the root of their number, by their directions, and a window looks into
+the ``PROBES`` cells whose centres are nearest (all, of up to as many cells): a
+window's work grows with that root. Items of other cells are left to the exact
+path above, so no confirmed leak depends on it. The items, their vectors and the
+space (2**BITS rows) are broadcast: they grow with the benchmark, not with the
+corpus, and a benchmark of more than ``MAX_ITEMS`` is searched part by part.
 
 Defined cases: null or empty text has no windows; a text shorter than a window
 is a window; items without words, or of null item_id, are left out, items of equal
 text are each reported; no items, no leaks; words that are in more than
 ``MAX_DF`` of the passages carry no weight (an item of such words only has no
 cosine, 0, and is found by its words alone); repeated rows are reported once for each doc_id (the best window stands,
-ties to the first); rows without doc_id are not reported, and kept by ``drop``
-unless they leak. Other columns are ignored, or passed through by ``drop``.
+ties to the first); rows without doc_id, or with one that is no whole number, are
+not reported, and kept by ``drop`` unless they leak. Other columns, whatever their
+names, are ignored, or passed through by ``drop``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,12 +49,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import doc_key, mapped
 from .textkernel import U, Words, groups, ranges
 
 #: Production parameters.
 BITS, RANK, OVER, BLOCK, PASSAGE, MAX_DF = 14, 64, 8, 12, 4, 0.05
 COSINE, LCS, SURE, ANSWER, ANSWER_SHARE, MAX_ITEMS = 0.5, 0.6, 0.8, 0.5, 0.25, 200_000
-COMMON = 0.4
+COMMON, CELL, PROBES = 0.4, 64, 16
 
 DIM = 1 << BITS
 _PART = 512  # features in a message of the sketch
@@ -204,11 +211,48 @@ class Space:
     words: list[list[int]]  # hashes of each item's words
     sets: list[frozenset]
     answer: list[int]  # where each item's answer begins
-    lengths: dict[int, tuple[list[int], np.ndarray]]  # blocks -> (items, scaled vectors)
+    lengths: dict[int, Cells]  # by blocks
     scaled: np.ndarray  # vector of each item
     rare: Rare
 
 
+@dataclass
+class Cells:
+    """Items of one window length: their scaled vectors, by cell."""
+
+    items: np.ndarray
+    vectors: np.ndarray
+    ptr: np.ndarray  # items of each cell
+    centres: np.ndarray
+
+    def near(self, windows: np.ndarray, cosine: float, probes: int = PROBES):
+        """(window, item, product) of all products of at least ``cosine`` in the cells that are looked into."""
+        n = len(self.ptr) - 1
+        look = None if n <= probes else np.argpartition(-(windows @ self.centres.T), probes, axis=1)[:, :probes]
+        for c in range(n):
+            rows = np.arange(len(windows)) if look is None else np.flatnonzero((look == c).any(1))
+            if len(rows):
+                sim = windows[rows] @ self.vectors[self.ptr[c] : self.ptr[c + 1]].T
+                w, k = np.nonzero(sim >= cosine)
+                yield from zip(rows[w].tolist(), self.items[self.ptr[c] + k].tolist(), sim[w, k].tolist(), strict=True)
+
+
+def cells(items: list[int], vectors: np.ndarray, cell: int = CELL) -> Cells:
+    """Cells of about ``cell`` items, or the root of their number where that is more, by a few rounds of spherical k-means."""
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    n = max(1, len(items) // max(cell, round(len(items) ** 0.5)))
+    centres = unit[np.linspace(0, len(items) - 1, n).astype(int)]
+    for _ in range(4 if n > 1 else 0):
+        of = (unit @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, unit)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), centres)
+    of = (unit @ centres.T).argmax(1)
+    by = np.argsort(of, kind="stable")
+    return Cells(np.array(items)[by], vectors[by], np.searchsorted(of[by], np.arange(n + 1)), centres.astype(np.float32))
+
+
 @dataclass
 class Rare:
     """The rarer words of the items, and which items have each."""
@@ -240,23 +284,55 @@ def rarer(items: list[list[int]], df: np.ndarray) -> Rare:
     return Rare(hot, vocab, np.searchsorted(at[by], np.arange(len(vocab) + 1)), item[by], np.array(dropped), size, -(-(size + size // 4) // BLOCK) + 1)
 
 
-def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Space | None:
-    """Counts, sketch and factors over all of docs; None where no item has words."""
-    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("item_id is not null").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items: split the benchmark")
-    rows = sorted(rows, key=lambda r: (r.item_id, r.text or ""))
-    if not rows:
-        return None
-    _, _, buf, offs = next(groups(pa.array([r.text or "" for r in rows], pa.string()), 1 << 40))
-    words = Words(buf, offs, plain=True)
+@dataclass
+class Counts:
+    """What all passages of the documents give, whatever the items."""
+
+    df: np.ndarray
+    n: int
+    idf: np.ndarray
+    y: np.ndarray
+
+
+def count(docs: DataFrame, rank: int = RANK) -> Counts:
     df, n = document_frequencies(docs)
     idf = _weights(df, n)
-    width = rank + OVER
-    y, test = sketch(docs, idf, width), _test_matrix(width)
+    return Counts(df, n, idf, sketch(docs, idf, rank + OVER))
+
+
+def parts(benchmark: DataFrame, most: int = MAX_ITEMS) -> Iterator[list]:
+    """The items (item_id, text), sorted, in parts of about ``most``."""
+    rows = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("item_id is not null")
+    n = -(-rows.count() // most)
+    for i in range(n):
+        yield sorted(rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect())
+
+
+def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Space | None:
+    """The space of all items at once; None where no item has words."""
+    return next(spaces(docs, benchmark, rank, 1 << 62), None)
+
+
+def spaces(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, most: int = MAX_ITEMS) -> Iterator[Space]:
+    """Counts and sketch over all of docs, and with them the space of each part of the items."""
+    known = None
+    for rows in parts(benchmark, most):
+        if rows:
+            known = known or count(docs, rank)
+            space = _space(rows, known, rank)
+            if space is not None:
+                yield space
+
+
+def _space(rows: list, known: Counts, rank: int) -> Space | None:
+    _, _, buf, offs = next(groups(pa.array([r.text for r in rows], pa.string()), 1 << 40))
+    words = Words(buf, offs, plain=True)
+    df, n, idf = known.df, known.n, known.idf
+    width = known.y.shape[1]
+    test = _test_matrix(width)
     own = np.zeros((DIM, width))
     _add(own, words, idf, _weighted(idf, test))
-    y += own * (max(n, 1) / len(rows))
+    y = known.y + own * (max(n, 1) / len(rows))
     v = _weighted(idf, factor(y, test.astype(np.float64), rank))
     f = _features(words)
     ids, kept, answers, by = [], [], [], {}
@@ -267,8 +343,7 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Space | No
         own_sim = float(q @ q)
         if a == b:
             continue
-        text = (r.text or "").encode()
-        local = text.lower().rfind(_ANSWER.encode() + b":")
+        local = r.text.encode().lower().rfind(_ANSWER.encode() + b":")
         size = b - a
         cut = int(np.searchsorted(words.starts[a:b] - offs[i], local + len(_ANSWER) + 1)) if local >= 0 else size - max(1, round(size * ANSWER_SHARE))
         if norm > 0 and own_sim > 1e-12:
@@ -278,10 +353,12 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Space | No
         answers.append(min(cut, size - 1))
     if not ids:
         return None
-    lengths = {k: ([i for i, _ in x], np.array([q for _, q in x], np.float32)) for k, x in by.items()}
     scaled = np.zeros((len(ids), v.shape[1]), np.float32)
-    for at, q in lengths.values():
-        scaled[at] = q
+    lengths = {}
+    for k, x in by.items():
+        at = [i for i, _ in x]
+        scaled[at] = np.array([q for _, q in x], np.float32)
+        lengths[k] = cells(at, scaled[at])
     return Space(idf, v, ids, kept, [frozenset(k) for k in kept], answers, lengths, scaled, rarer(kept, df))
 
 
@@ -339,16 +416,14 @@ def _candidates(space: Space, words: Words, cosine: float, lcs: float):
     norms = np.concatenate([[0.0], np.cumsum((idf * idf).sum(1), dtype=np.float64)])
     doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
     ends = np.append(start, len(words.hash))
-    for blocks, (items, q) in space.lengths.items():
+    for blocks, group in space.lengths.items():
         last = np.minimum(np.arange(len(start)) + blocks, ptr[doc + 1])
         use = np.flatnonzero((np.arange(len(start)) + blocks <= ptr[doc + 1]) | (np.arange(len(start)) == ptr[doc]))
         last = last[use]
         weight = np.sqrt(np.maximum(norms[last] - norms[use], 1e-9))
         near = ((sums[last] - sums[use]) / weight[:, None]).astype(np.float32)
-        for i in range(0, len(items), 4096):
-            sim = near @ q[i : i + 4096].T
-            for w, k in zip(*np.nonzero(sim >= cosine), strict=True):
-                yield int(doc[use[w]]), items[i + k], int(start[use[w]]), int(ends[last[w]]), float(sim[w, k])
+        for w, k, sim in group.near(near, cosine):
+            yield int(doc[use[w]]), k, int(start[use[w]]), int(ends[last[w]]), sim
     for k, a, b in zip(*(x.tolist() for x in _sharing(space.rare, words, start, ptr, doc, lcs)), strict=True):
         sim = (sums[b] - sums[a]) @ space.scaled[k] / np.sqrt(max(norms[b] - norms[a], 1e-9))
         yield int(doc[a]), k, int(start[a]), int(ends[b]), float(sim)
@@ -377,14 +452,22 @@ def leaks_of(space: Space, words: Words, cosine: float = COSINE, lcs: float = LC
 _SCHEMA = "doc_id long, item long, lcs_share double, answer_share double, cosine double, word_start long, n_words long"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, space: Space | None = None) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, space: Space | None = None, most: int = MAX_ITEMS) -> DataFrame:
     """(doc_id, item_id, lcs_share, answer_share, cosine, word_start, n_words), a row for
     each document and item that it leaks."""
     spark = docs.sparkSession
     kind = benchmark.schema["item_id"].dataType
-    space = space or build(docs, benchmark)
-    if space is None:
+    out = None
+    for part in [space] if space else spaces(docs, benchmark, most=most):
+        found = _leaks(docs, part, kind.simpleString())
+        out = found if out is None else out.unionByName(found)
+    if out is None:
         return spark.createDataFrame([], _SCHEMA.replace("item long", f"item_id {kind.simpleString()}"))
+    return out
+
+
+def _leaks(docs: DataFrame, space: Space, kind: str) -> DataFrame:
+    spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(space)
 
     def run(batches):
@@ -397,27 +480,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, space: Space | None = None) ->
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in _SCHEMA.split(", ")])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").mapInArrow(run, _SCHEMA)
+    found = docs.select(doc_key().alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").mapInArrow(run, _SCHEMA)
     order = F.struct(F.col("lcs_share"), F.col("cosine"), -F.col("word_start"))
     one = found.groupBy("doc_id", "item").agg(F.max_by(F.struct("lcs_share", "answer_share", "cosine", "word_start", "n_words"), order).alias("b"))
-    names = spark.createDataFrame([(i, k) for i, k in enumerate(space.ids)], f"item long, item_id {kind.simpleString()}")
-    names = F.broadcast(names) if len(space.ids) <= 100_000 else names
-    return one.join(names, "item").select("doc_id", "item_id", "b.*")
+    names = spark.createDataFrame([(i, k) for i, k in enumerate(space.ids)], f"item long, item_id {kind}")
+    return one.join(F.broadcast(names), "item").select("doc_id", "item_id", "b.*")  # MAX_ITEMS rows at most
 
 
-def drop(docs: DataFrame, benchmark: DataFrame, space: Space | None = None) -> DataFrame:
+def drop(docs: DataFrame, benchmark: DataFrame, space: Space | None = None, most: int = MAX_ITEMS) -> DataFrame:
     """The rows of docs whose texts leak no item, with all their columns."""
-    space = space or build(docs, benchmark)
-    if space is None:
-        return docs
+    out = docs
+    for part in [space] if space else spaces(docs, benchmark, most=most):
+        out = _without(out, part)
+    return out
+
+
+def _without(docs: DataFrame, space: Space) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
-    def run(batches):
-        for x in batches:
-            clean = np.ones(x.num_rows, dtype=bool)
-            for a, _, buf, offs in groups(x.column(x.schema.get_field_index("text")), _CHUNK):
-                for d, _ in leaks_of(shared.value, Words(buf, offs, plain=True)):
-                    clean[a + d] = False
-            yield x.filter(pa.array(clean))
+    def change(read, rows):
+        clean = np.ones(rows.num_rows, dtype=bool)
+        for a, _, buf, offs in groups(read[0], _CHUNK):
+            for d, _ in leaks_of(shared.value, Words(buf, offs, plain=True)):
+                clean[a + d] = False
+        return rows.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, ["text"], change)

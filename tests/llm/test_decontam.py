@@ -183,3 +183,40 @@ def test_items_of_words_without_weight(spark):
     docs = [(i, item if i < 3 else " ".join(f"z{i}x{j}" for j in range(30))) for i in range(12)]
     got = leaks(*frames(spark, docs, [(7, item)])).collect()
     assert sorted((r.doc_id, r.item_id, r.lcs_share, r.cosine) for r in got) == [(i, 7, 1.0, 0.0) for i in range(3)]
+
+
+def test_an_item_in_many_documents(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    docs = [(i, (item if i < 30 else "") + " " + " ".join(f"z{i}x{j}" for j in range(40))) for i in range(200)]
+    got = leaks(*frames(spark, docs, [(1, item)])).collect()
+    assert {r.doc_id for r in got} == set(range(30)) and len(got) == 30
+
+
+def test_parts_of_a_benchmark_give_what_the_whole_gives(spark):
+    docs, bench, _ = corpus(6)
+    d, b = frames(spark, docs, bench)
+    rows = lambda x: {(r.doc_id, r.item_id, round(r.lcs_share, 9), round(r.answer_share, 9)) for r in x.collect()}
+    assert rows(leaks(d, b, most=5)) == rows(leaks(d, b))
+    assert {r.doc_id for r in drop(d, b, most=5).collect()} == {r.doc_id for r in drop(d, b).collect()}
+
+
+def test_cells_find_what_all_products_find():
+    r = np.random.default_rng(3)
+    topics = r.standard_normal((60, 64))
+    items = (topics[r.integers(0, 60, 8000)] + 0.4 * r.standard_normal((8000, 64))).astype(np.float32)
+    items /= np.linalg.norm(items, axis=1, keepdims=True)
+    found = decontam.cells(list(range(8000)), items)
+    assert len(found.ptr) - 1 > 60
+    windows = items[::40] + 0.05 * r.standard_normal((200, 64)).astype(np.float32)
+    want = {(int(w), int(k)) for w, k in zip(*np.nonzero(windows @ items.T >= 0.8), strict=True)}
+    got = {(w, k) for w, k, _ in found.near(windows, 0.8)}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_columns_are_found_as_spark_finds_them(spark):
+    docs, bench, _ = corpus(7)
+    d, b = frames(spark, docs, bench)
+    odd = d.select(d.text.alias("TEXT"), d.doc_id.cast("string").alias("doc_id"), d.n.alias("c0"), d.n.alias("c0"))
+    left = drop(odd, b)
+    assert left.columns == odd.columns and {int(r.doc_id) for r in left.collect()} == {r.doc_id for r in drop(d, b).collect()}
+    assert {r.doc_id for r in leaks(odd, b).collect()} == {r.doc_id for r in leaks(d, b).collect()}
