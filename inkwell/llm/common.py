@@ -64,16 +64,19 @@ def mapped(docs: DataFrame, names: list[str], change: Callable[[list[pa.Array],
     if place(docs, "text") is None:
         raise ValueError("there is no column text")
     flat = bare_columns(docs)
-    n = len(names)
+    #: Columns that are strings are read where they are: texts are not sent twice.
+    at = [place(docs, c) for c in names]
+    here = [k if k is not None and docs.schema[k].dataType == T.StringType() else None for k in at]
+    more = [text_of(docs, c).alias(f"w{i}") for i, (c, k) in enumerate(zip(names, here, strict=True)) if k is None]
+    n = len(more)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for x in batches:
-            rows = pa.RecordBatch.from_arrays(x.columns[n:], x.schema.names[n:])
-            yield change(x.columns[:n], rows)
+            rows, cast = pa.RecordBatch.from_arrays(x.columns[n:], x.schema.names[n:]), iter(x.columns[:n])
+            yield change([next(cast) if k is None else rows.column(k) for k in here], rows)
 
-    wanted = [text_of(docs, c).alias(f"w{i}") for i, c in enumerate(names)]
     schema = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema.fields)])
-    return flat.select(*wanted, *flat.columns).mapInArrow(run, schema).toDF(*docs.columns)
+    return flat.select(*more, *flat.columns).mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def ids_and_text(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -111,7 +114,7 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             both = e.select(F.col("u").alias("n"), F.col("v").alias("x")).unionByName(e.select(F.col("v").alias("n"), F.col("u").alias("x")))
             least = both.groupBy("n").agg(F.least(F.min("x"), F.col("n")).alias("m"))
-            large = store(both.filter("x > n").join(least, "n").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+            large = store(both.filter("x > n").join(least, "n").select(F.col("x").alias("u"), F.col("m").alias("v")), "large-stars")
             least = large.groupBy("u").agg(F.min("v").alias("m"))
             moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             e = store(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
