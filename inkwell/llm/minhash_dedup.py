@@ -4,20 +4,22 @@ Shingles are runs of K lower-cased words. Texts with equal words are collapsed
 first (128 bits of hash and the count). Of the rest, documents whose signatures
 agree in a band are candidates; a candidate pair's signatures are compared a
 batch at a time, and the pair is dropped as soon as the posterior probability
-(uniform prior) of a similarity of at least ``threshold`` is below ``miss``.
+(uniform prior) of a similarity of at least ``threshold`` is below ``miss`` over
+the number of batches, so that all looks together miss by ``miss`` at most.
 Survivors are verified on the exact shingle sets. Groups are the connected
 components of verified pairs; the least doc_id of a group stays.
 
-Pairs grow with the documents, not with the squares of the groups: in each
-bucket all are compared with the least doc_id; only those that fail there are
-compared with each other document of the bucket that is not of their group by
-then. Two that agree with the bucket's least one are in one group already, so
-the groups are those of all candidate pairs.
+In each bucket all are compared with the least doc_id, which is found by an
+aggregation with partial minima. Two that agree with it are in one group
+already, so copies give pairs in proportion to their number, not to its square.
+Only those that fail there are compared with each other document of the bucket
+that is not of their group by then (no link between different texts is lost;
+unlike texts of one bucket are what costs pairs).
 
 Defined cases: null text is empty; texts without words are no one's copies; a
 text of fewer than K words is one shingle; rows that share a doc_id are one
-document (the least text stands); rows without doc_id are not compared, and
-kept by ``drop``; a similarity equal to the threshold is a copy. Other columns
+document (the least text stands); rows without doc_id, or with one that is no
+whole number, are not compared, and kept by ``drop``; a similarity equal to the threshold is a copy. Other columns
 are ignored, or passed through by ``drop``.
 """
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, ids_and_text, sized, store
+from .common import bare_columns, components, doc_key, ids_and_text, keep, place, scratch, session, sized, store
 from .textkernel import U, Words, groups, inside, kgrams, mix, powers
 
 #: Production parameters.
@@ -79,8 +81,10 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 def least_matches(threshold: float = THRESHOLD, miss: float = MISS, batch: int = BATCH) -> list[int]:
     """For n = batch, 2 batch, .. values: matches below which the posterior
-    P(similarity >= threshold), a binomial tail by Beta(m + 1, n - m + 1), is under miss."""
+    P(similarity >= threshold), a binomial tail by Beta(m + 1, n - m + 1), is under miss
+    over the number of batches."""
     out = []
+    miss /= -(-PERMS // batch)
     for n in range(batch, PERMS + 1, batch):
         tail = 0.0
         for m in range(n + 1):
@@ -168,40 +172,42 @@ def compare(texts: DataFrame, sigs: DataFrame, pairs: DataFrame, threshold: floa
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """(doc_id, kept_doc_id, equal_words) of each document that goes."""
-    texts = ids_and_text(docs)
-    sigs = store(sketch(texts), "signatures")
-    same = store(sigs.select("doc_id", F.min("doc_id").over(Window.partitionBy("d1", "d2", "n")).alias("rep")).filter("doc_id <> rep"), "equal-texts")
-    reps = sigs.join(sized(same.select("doc_id")), "doc_id", "left_anti")
-    by = Window.partitionBy("h")
-    buckets = reps.select("doc_id", F.explode("bands").alias("h")).withColumn("pivot", F.min("doc_id").over(by)).withColumn("size", F.count(F.lit(1)).over(by)).filter("size > 1")
-    buckets = store(buckets.select("h", "doc_id", "pivot"), "buckets")
-    pairs = store(buckets.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    edges = compare(texts, sigs, pairs, threshold, miss)
-    failed = store(pairs.join(edges, ["a", "b"], "left_anti"), "failed")
-    if not failed.isEmpty():
-        group = components(edges)
-        member = buckets.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", "doc_id", "pivot", F.coalesce("component", "doc_id").alias("g"))
-        some = member.join(failed.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id")), ["pivot", "doc_id"], "left_semi")
-        met = some.select("h", F.col("doc_id").alias("x"), F.col("g").alias("gx")).join(member.filter("doc_id <> pivot").select("h", F.col("doc_id").alias("y"), F.col("g").alias("gy")), "h").filter("gx <> gy")
-        rest = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        rest = store(rest, "other-pairs")
-        if not rest.isEmpty():
-            edges = edges.unionByName(compare(texts, sigs, rest, threshold, miss))
-    whole = edges.select("a", "b").unionByName(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    gone = components(whole).filter("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("kept_doc_id"))
-    equal = same.select("doc_id", F.col("rep").alias("kept_doc_id"), F.lit(True).alias("equal_words"))
-    return gone.join(equal, ["doc_id", "kept_doc_id"], "left").select("doc_id", "kept_doc_id", F.coalesce("equal_words", F.lit(False)).alias("equal_words"))
+    with scratch(session(docs)):
+        texts = ids_and_text(docs)
+        sigs = store(sketch(texts), "signatures")
+        words = sigs.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+        same = store(sigs.select("doc_id", "d1", "d2", "n").join(words, ["d1", "d2", "n"]).filter("doc_id <> rep").select("doc_id", "rep"), "equal-texts")
+        reps = sigs.join(sized(same.select("doc_id")), "doc_id", "left_anti").select("doc_id", F.explode("bands").alias("h"))
+        pivots = reps.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+        buckets = store(reps.join(pivots, "h").select("h", "doc_id", "pivot"), "buckets")
+        pairs = store(buckets.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+        edges = compare(texts, sigs, pairs, threshold, miss)
+        failed = store(pairs.join(edges, ["a", "b"], "left_anti"), "failed")
+        if not failed.isEmpty():
+            group = components(edges)
+            member = buckets.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", "doc_id", "pivot", F.coalesce("component", "doc_id").alias("g"))
+            some = member.join(failed.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id")), ["pivot", "doc_id"], "left_semi")
+            met = some.select("h", F.col("doc_id").alias("x"), F.col("g").alias("gx")).join(member.filter("doc_id <> pivot").select("h", F.col("doc_id").alias("y"), F.col("g").alias("gy")), "h").filter("gx <> gy")
+            rest = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+            rest = store(rest, "other-pairs")
+            if not rest.isEmpty():
+                edges = edges.unionByName(compare(texts, sigs, rest, threshold, miss))
+        whole = edges.select("a", "b").unionByName(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+        gone = components(whole).filter("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("kept_doc_id"))
+        equal = same.select("doc_id", F.col("rep").alias("kept_doc_id"), F.lit(True).alias("equal_words"))
+        return keep(gone.join(equal, ["doc_id", "kept_doc_id"], "left").select("doc_id", "kept_doc_id", F.coalesce("equal_words", F.lit(False)).alias("equal_words")), "near-duplicates")
 
 
 def drop(docs: DataFrame, **params) -> DataFrame:
     """The rows of docs without near-duplicates: one row of each group, all its columns."""
-    gone = store(near_duplicates(docs, **params).select("doc_id"), "removed")
-    key = F.col("doc_id").cast("long")
-    again = store(docs.select(key.alias("_ik_id")).filter("_ik_id is not null").groupBy("_ik_id").count().filter("count > 1").select("_ik_id"), "repeated-ids")
-    kept = docs.join(sized(gone.withColumnRenamed("doc_id", "_ik_gone")), key == F.col("_ik_gone"), "left_anti")
-    if again.isEmpty():
-        return kept
-    side = sized(again)
-    first = Window.partitionBy(key).orderBy(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    one = kept.join(side, key == F.col("_ik_id"), "left_semi").withColumn("_ik_n", F.row_number().over(first)).filter("_ik_n = 1").drop("_ik_n")
-    return kept.join(side, key == F.col("_ik_id"), "left_anti").unionByName(one)
+    gone = near_duplicates(docs, **params).select(F.col("doc_id").alias("_id"))
+    flat, at, text = bare_columns(docs), place(docs, "doc_id"), place(docs, "text")
+    key = doc_key(f"c{at}")
+    again = keep(flat.select(key.alias("_id")).filter("_id is not null").groupBy("_id").count().filter("count > 1").select("_id"), "repeated-ids")
+    kept = flat.join(sized(gone), key == F.col("_id"), "left_anti")
+    if not again.isEmpty():
+        side = sized(again)
+        first = Window.partitionBy(key).orderBy(F.coalesce(F.col(f"c{text}").cast("string"), F.lit("")))
+        one = kept.join(side, key == F.col("_id"), "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+        kept = kept.join(side, key == F.col("_id"), "left_anti").unionByName(one)
+    return kept.toDF(*docs.columns)

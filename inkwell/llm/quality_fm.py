@@ -5,14 +5,17 @@ Score of a document with features x:  w0 + sum_j w_j x_j
 by the sum-of-squares identity, then the logistic function.
 
 Only training is bounded (``max_train`` labelled rows, drawn by hash of the id,
-so that the draw does not depend on partitions); scoring is one pass without a
-shuffle, over whole texts.
+so that the draw does not depend on partitions). Features are made on the
+executors, so the driver is sent them and no texts; scoring is one pass without
+a shuffle, over whole texts.
 
 Defined cases: null text is empty; a text without words scores 0.0; null source
-or language is a value of its own; repeated rows are scored each; rows without
-doc_id are scored like the rest; labels other than 0 and 1, or of unknown
+or language is a value of its own, as are those of a table without the column;
+repeated rows are scored each; rows without doc_id, or with one that is no whole
+number, are scored like the rest; labels other than 0 and 1, or of unknown
 documents, are not used; without labels of both classes there is no model and
-every document with words scores 1.0. Other columns are passed through.
+every document with words scores 1.0. Other columns, whatever their names, are
+passed through.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, sized
-from .textkernel import Words, groups, mix
+from .common import bare_columns, doc_key, ids_and_text, mapped, place, sized, text_of
+from .textkernel import Words, groups, ranges
 
 #: Production parameters.
 MAX_TRAIN, WORD_BITS, RANK, EPOCHS, CUTOFF = 8000, 15, 8, 12, 0.5
@@ -92,30 +95,26 @@ class Machine:
         return np.where(words > 0, 1 / (1 + np.exp(-self.margin(ptr, index, value)[0].astype(float))), 0.0)
 
 
-def fit(texts: list[str] | pa.Array, meta: list[tuple[str, str]], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
-    """AdaGrad on the logistic loss, both classes weighted alike."""
+def learn(ptr: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-5, seed: int = 7, batch: int = 128) -> Machine:
+    """AdaGrad on the logistic loss over features by row, both classes weighted alike."""
     if len(set(y.tolist())) < 2:
         return Machine(0.0, None, None)
-    parts = [features(b, o, meta[i:j]) for i, j, b, o in groups(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))]
     rng = np.random.default_rng(seed)
     dim = FIRST_WORD + (1 << WORD_BITS)
     m = Machine(0.0, np.zeros(dim, np.float32), rng.normal(0, 0.02, (dim, RANK)).astype(np.float32))
     gw, gv, g0 = np.full(dim, 1e-2, np.float32), np.full((dim, RANK), 1e-2, np.float32), 1e-2
-    at, batches = 0, []
-    for ptr, index, value, words in parts:
-        for a in range(0, len(ptr) - 1, 128):
-            b = min(a + 128, len(ptr) - 1)
-            batches.append((ptr[a : b + 1] - ptr[a], index[ptr[a] : ptr[b]], value[ptr[a] : ptr[b]], y[at + a : at + b]))
-        at += len(ptr) - 1
+    starts = np.arange(0, len(y), batch)
     weight = {1: 0.5 / y.mean(), 0: 0.5 / (1 - y.mean())}
     for _ in range(epochs):
-        for k in rng.permutation(len(batches)):
-            ptr, index, value, t = batches[k]
-            z, sums = m.margin(ptr, index, value)
+        for a in rng.permutation(starts).tolist():
+            b = min(a + batch, len(y))
+            rows = slice(ptr[a], ptr[b])
+            own, i, x, t = ptr[a : b + 1] - ptr[a], index[rows], value[rows], y[a:b]
+            z, sums = m.margin(own, i, x)
             miss = ((1 / (1 + np.exp(-z)) - t) * np.where(t == 1, weight[1], weight[0])).astype(np.float32)
-            each = np.repeat(miss, np.diff(ptr)) * value
-            full = np.repeat(sums, np.diff(ptr), axis=0) - m.v[index] * value[:, None]
-            uniq, inv = np.unique(index, return_inverse=True)
+            each = np.repeat(miss, np.diff(own)) * x
+            full = np.repeat(sums, np.diff(own), axis=0) - m.v[i] * x[:, None]
+            uniq, inv = np.unique(i, return_inverse=True)
             dw = np.bincount(inv, weights=each).astype(np.float32) / len(t) + decay * m.w[uniq]
             dv = np.column_stack([np.bincount(inv, weights=each * full[:, f]) for f in range(RANK)]).astype(np.float32) / len(t) + decay * m.v[uniq]
             gw[uniq] += dw * dw
@@ -128,19 +127,37 @@ def fit(texts: list[str] | pa.Array, meta: list[tuple[str, str]], y: np.ndarray,
     return m
 
 
+def _featured(rows: DataFrame) -> DataFrame:
+    """(doc_id, y, index, value) of rows (doc_id, y, text, source, lang)."""
+    names = ["doc_id", "y", "index", "value"]
+
+    def run(batches):
+        for x in batches:
+            meta = list(zip(map(str, x.column(3).to_pylist()), map(str, x.column(4).to_pylist()), strict=True))
+            for a, b, buf, offs in groups(x.column(2)):
+                ptr, index, value, _ = features(buf, offs, meta[a:b])
+                at = pa.array(ptr, pa.int32())
+                lists = (pa.ListArray.from_arrays(at, pa.array(v, t)) for v, t in ((index, pa.int32()), (value, pa.float32())))
+                yield pa.RecordBatch.from_arrays([x.column(0).slice(a, b - a), x.column(1).slice(a, b - a), *lists], names)
+
+    return rows.select("doc_id", "y", "text", "source", "lang").mapInArrow(run, "doc_id long, y int, index array<int>, value array<float>")
+
+
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Machine:
     """Fit on at most ``max_train`` labelled documents: a bound on the model's training only."""
-    flat = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
+    flat = labels.select(doc_key().alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     drawn = flat.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     side = sized(drawn, max_train)
-    text = ids_and_text(docs, extra=("source", "lang"))
-    rows = text.join(side, "doc_id").select("doc_id", "text", "source", "lang", "y").toArrow().sort_by("doc_id")
-    meta = list(zip(map(str, rows["source"].to_pylist()), map(str, rows["lang"].to_pylist()), strict=True))
-    return fit(rows["text"].combine_chunks() if len(rows) else [], meta, rows["y"].to_numpy())
+    rows = _featured(ids_and_text(docs, extra=("source", "lang")).join(side, "doc_id")).toArrow()
+    ids, y = rows["doc_id"].to_numpy(), rows["y"].to_numpy()
+    index, value = (rows[c].combine_chunks() for c in ("index", "value"))
+    order = np.argsort(ids, kind="stable")
+    size = np.diff(index.offsets.to_numpy()) if len(ids) else np.zeros(0, np.int64)
+    take = ranges(index.offsets.to_numpy()[:-1][order], index.offsets.to_numpy()[1:][order]) if len(ids) else np.zeros(0, np.int64)
+    return learn(np.concatenate([[0], np.cumsum(size[order])]), index.values.to_numpy()[take] if len(ids) else take, value.values.to_numpy()[take] if len(ids) else take, y[order])
 
 
-def _batch_scores(model: Machine, batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
-    text, source, lang = (batch.column(batch.schema.get_field_index(c)) for c in names)
+def _batch_scores(model: Machine, text: pa.Array, source: pa.Array, lang: pa.Array) -> np.ndarray:
     out = np.zeros(len(text))
     meta = list(zip(map(str, source.to_pylist()), map(str, lang.to_pylist()), strict=True))
     for a, b, buf, offs in groups(text):
@@ -154,18 +171,14 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
 
     def run(batches):
         for x in batches:
-            s = _batch_scores(shared.value, x, ["text", "source", "lang"])
+            s = _batch_scores(shared.value, *x.columns[1:])
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(s, pa.float64())], ["doc_id", "quality_score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "doc_id long, quality_score double")
+    flat, at = bare_columns(docs), place(docs, "doc_id")
+    return flat.select(doc_key(f"c{at}").alias("doc_id"), *(text_of(docs, c).alias(f"w{i}") for i, c in enumerate(("text", "source", "lang")))).mapInArrow(run, "doc_id long, quality_score double")
 
 
 def keep(docs: DataFrame, model: Machine, cutoff: float = CUTOFF) -> DataFrame:
     """The rows that score at least ``cutoff``, with all their columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for x in batches:
-            yield x.filter(pa.array(_batch_scores(shared.value, x, ["text", "source", "lang"]) >= cutoff))
-
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, ["text", "source", "lang"], lambda read, rows: rows.filter(pa.array(_batch_scores(shared.value, *read) >= cutoff)))

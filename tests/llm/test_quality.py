@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from inkwell.llm.quality_fm import Machine, features, fit, keep, score, train
+from inkwell.llm import quality_fm
+from inkwell.llm.quality_fm import Machine, features, keep, learn, score, train
 from inkwell.llm.textkernel import groups
 
 
@@ -63,7 +65,50 @@ def test_odd_input(spark):
     none = train(d, lab.filter("quality = 1"))
     assert none.w is None and keep(d, none).count() == len(docs) - 3
     assert score(d.filter("false"), none).count() == 0 and train(d.filter("false"), lab).w is None
-    assert fit([], [], np.zeros(0)).w is None
+
+
+def test_training_steps_are_those_of_plain_loops(monkeypatch):
+    """One epoch of one batch, against sums over documents and features."""
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"w{r.integers(0, 30)}" for _ in range(r.integers(1, 12))) for _ in range(9)]
+    _, _, buf, offs = next(groups(pa.array(texts)))
+    ptr, index, value, _ = features(buf, offs, [("s", "l")] * 9)
+    y = np.array([1, 0, 1, 1, 0, 0, 1, 1, 0])
+    got = learn(ptr, index, value, y, epochs=1, batch=9)
+    dim = quality_fm.FIRST_WORD + (1 << quality_fm.WORD_BITS)
+    seeded = np.random.default_rng(7)
+    v = seeded.normal(0, 0.02, (dim, quality_fm.RANK)).astype(np.float32).astype(float)
+    dw, dv, d0 = np.zeros(dim), np.zeros_like(v), 0.0
+    for k in range(9):
+        feats = list(zip(index[ptr[k] : ptr[k + 1]].tolist(), value[ptr[k] : ptr[k + 1]].tolist(), strict=True))
+        sums = sum(v[i] * x for i, x in feats)
+        z = 0.5 * sum((sums[f] ** 2 - sum((v[i][f] * x) ** 2 for i, x in feats)) for f in range(quality_fm.RANK))
+        miss = (1 / (1 + np.exp(-z)) - y[k]) * (0.5 / y.mean() if y[k] else 0.5 / (1 - y.mean())) / 9
+        d0 += miss
+        for i, x in feats:
+            dw[i] += miss * x
+            dv[i] += miss * x * (sums - v[i] * x)
+    used = np.unique(index)
+    dv[used] += 1e-5 * v[used]
+    assert abs(got.w0 + 0.1 * d0 / (1e-2 + d0 * d0) ** 0.5) < 1e-5
+    assert np.allclose(got.w[used], -0.1 * dw[used] / np.sqrt(1e-2 + dw[used] ** 2), atol=1e-5)
+    assert np.allclose(got.v[used], v[used] - 0.1 * dv[used] / np.sqrt(1e-2 + dv[used] ** 2), atol=1e-5)
+
+
+def test_columns_are_found_as_spark_finds_them(spark):
+    docs, labels = corpus(5, 100)
+    d, lab = frames(spark, docs, labels)
+    model = train(d, lab)
+    want = sorted(r.doc_id for r in keep(d, model).collect())
+    odd = d.select(d.text.alias("TEXT"), "doc_id", d.source.alias("Source"), "lang", d.y.alias("c1"), d.y.alias("c1"), d.y.alias("w0"))
+    got = keep(odd, model)
+    assert got.columns == odd.columns and sorted(r.doc_id for r in got.collect()) == want
+    bare = d.select("doc_id", "text")
+    assert score(bare, train(bare, lab)).count() == 100 and keep(bare, model).columns == ["doc_id", "text"]
+    named = d.withColumn("doc_id", d.doc_id.cast("string")).replace("3", "three", ["doc_id"])
+    assert score(named, model).filter("doc_id is null").count() == 1
+    with pytest.raises(ValueError, match="text"):
+        keep(d.select("doc_id"), model)
 
 
 def test_the_draw_does_not_depend_on_partitions(spark):
