@@ -123,6 +123,11 @@ def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(parse_documents(_sql(spark, sf_dir, _LINKS)), "linked")
 
 
+def linked_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their frontmatter only, not stored: for queries of one pass."""
+    return parse_frontmatter(_sql(spark, sf_dir, _LINKS))
+
+
 def part_schema() -> Schema:
     return Schema.parse(PART_SCHEMA)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +43,20 @@ def _mapped(df: DataFrame, col: str, schema: str, make) -> DataFrame:
     return df.mapInArrow(run, whole)
 
 
+#: Bytes of input a core from which a table has splits enough by itself.
+SPLIT = 16 << 20
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores where the plan's estimate is of little data (a few
+    splits, which would be parsed by as many tasks); larger tables are read as they are."""
+    if files.isStreaming:
+        return files
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return files.repartition(cores) if size < cores * SPLIT else files
+
+
 def parse_frontmatter(files: DataFrame) -> DataFrame:
     """files (path, raw, ..) with state, fields, body, and the promoted id, type, title, status.
 
@@ -55,7 +67,7 @@ def parse_frontmatter(files: DataFrame) -> DataFrame:
         state, fields, error, body, offset = fm.parse(raw or "")
         return {"fm_state": state, "parse_error": error, "fields": [(k, value_of(v)) for k, v in sorted(fields.items())], "body": body, "body_line_offset": offset}
 
-    out = _mapped(files, "raw", HEAD, make)
+    out = _mapped(dealt(files), "raw", HEAD, make)
     shown = lambda k: F.try_element_at("fields", F.lit(k)).getField("display")
     return out.withColumns({"file_name": F.element_at(F.split("path", "/"), -1), "id": path_to_id(F.col("path")), "type": shown("type"), "title": shown("title"), "status": shown("status")})
 
@@ -74,6 +86,3 @@ def frontmatter_json(docs: DataFrame):
     pairs = F.transform(F.array_sort(F.map_keys("fields")), lambda k: F.concat(F.to_json(F.struct(k.alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(k.alias("k")))) - 6), F.lit(":"), F.element_at(F.col("fields"), k).getField("json")))
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
-
-def loads(text: str):
-    return json.loads(text)

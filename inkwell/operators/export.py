@@ -75,20 +75,41 @@ def to_html(body: str) -> str:
     return "\n".join(x for x in (_block(b, lines) for b in blocks(lines)) if x)
 
 
-def pages(docs: DataFrame, e: DataFrame) -> DataFrame:
-    """(path, html): frontmatter table, body and backlinks of each document."""
+_KEPT = re.compile(r"(<a\b.*?</a>|<[^>]*>)", re.DOTALL)
+
+
+def link_ids(page: str, known: list[str]) -> str:
+    """Ids of the list in text, outside tags and links, as links to their pages."""
+    if not known:
+        return page
+    ids = re.compile(r"\b(" + "|".join(map(re.escape, sorted(known, key=len, reverse=True))) + r")\b")
+    return "".join(x if i % 2 else ids.sub(lambda m: f'<a href="{m[0].lower()}.html">{m[0]}</a>', x) for i, x in enumerate(_KEPT.split(page)))
+
+
+def mentions(docs: DataFrame, n: DataFrame) -> DataFrame:
+    """(path, known): ids of nodes that a document's text or fields name, by a join on the
+    words that could be ids (capitals, digits, dashes)."""
+    text = F.concat_ws("\n", "body", F.transform(F.map_values("fields"), lambda v: v["display"]))
+    words = F.array_union(F.regexp_extract_all(text, F.lit(r"\b[A-Z]+-[0-9]+\b"), F.lit(0)), F.regexp_extract_all(text, F.lit(r"\b[A-Z][A-Z0-9-]*[A-Z0-9]\b"), F.lit(0)))
+    return docs.select("path", F.explode(words).alias("id")).join(n.select("id"), "id", "left_semi").groupBy("path").agg(F.collect_set("id").alias("known"))
+
+
+def pages(docs: DataFrame, e: DataFrame, n: DataFrame | None = None) -> DataFrame:
+    """(path, html): frontmatter table, body and backlinks of each document; ids of n are links."""
     back = e.groupBy(F.col("to").alias("id")).agg(F.sort_array(F.collect_set(F.struct("from", "relation"))).alias("back"))
     rows = F.array_join(F.transform(F.array_sort(F.map_keys("fields")), lambda k: F.concat(F.lit("<tr><th>"), html_escape(k), F.lit("</th><td>"), html_escape(F.element_at(F.col("fields"), k)["display"]), F.lit("</td></tr>"))), "")
     at = docs.join(back, "id", "left").select("path", F.coalesce("title", "id").alias("title"), rows.alias("fields"), F.coalesce(F.transform("back", lambda b: F.concat(F.lit('<li><a href="'), F.lower(b["from"]), F.lit('.html">'), b["from"], F.lit("</a> "), b["relation"], F.lit("</li>"))), F.array().cast("array<string>")).alias("back"), "body")
+    known = F.array().cast("array<string>")
+    at = at.withColumn("known", known) if n is None else at.join(mentions(docs, n), "path", "left").withColumn("known", F.coalesce("known", known))
 
     def run(batches):
         for x in batches:
             out = []
-            for title, fields, back, body in zip(*(x.column(c).to_pylist() for c in ("title", "fields", "back", "body")), strict=True):
+            for title, fields, back, body, known in zip(*(x.column(c).to_pylist() for c in ("title", "fields", "back", "body", "known")), strict=True):
                 t = html.escape(title or "")
                 links = f"<section><h2>Backlinks</h2><ul>{''.join(back)}</ul></section>" if back else ""
-                out.append(f'<!doctype html><html><head><meta charset="utf-8"><title>{t}</title></head><body><table>{fields}</table>{to_html(body or "")}{links}</body></html>')
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(out, pa.string())], ["path", "html"])
+                out.append(f'<!doctype html><html><head><meta charset="utf-8"><title>{t}</title></head><body>{link_ids(f"<table>{fields}</table>" + to_html(body or ""), known)}{links}</body></html>')
+            yield pa.RecordBatch.from_arrays([x.column("path"), pa.array(out, pa.string())], ["path", "html"])
 
     return at.mapInArrow(run, "path string, html string")
 
@@ -104,6 +125,6 @@ def site(docs: DataFrame, e: DataFrame, n: DataFrame, out: str) -> None:
     """Pages and index.html under ``out``, a folder that executors share."""
     from ..sources.files import write_files
 
-    write_files(pages(docs, e), out, "html", ".html")
+    write_files(pages(docs, e, n), out, "html", ".html")
     lists = index(n).orderBy("type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("type", "html"))), lambda x: x["html"]), "").alias("html"))
     write_files(lists.select(F.lit("index.html").alias("path"), F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8"><title>Documents</title></head><body>'), F.coalesce("html", F.lit("")), F.lit("</body></html>")).alias("html")), out, "html")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frontmatter as fm
 from ..functions.markdown import blocks, parse_body, split_lines, split_row
-from ..functions.scalar import closest, normal_id, strip
+from ..functions.scalar import closest, normal_id
 from ..plans.schema import Schema, Section
 from .filters import where
 
@@ -178,6 +178,22 @@ def rename(docs: DataFrame, schema: Schema, path: str, new_id: str) -> tuple[Dat
     return rewrite(changed, edit), target
 
 
+def rename_apply(docs: DataFrame, schema: Schema, root: str, path: str, new_id: str) -> str:
+    """Writes the changed documents under the root, then moves the file; its new path."""
+    from ..sources.files import write_files
+    from ..sources.storage import hadoop_path
+
+    new, target = rename(docs, schema, path, new_id)
+    fs, source = hadoop_path(docs.sparkSession, f"{root.rstrip('/')}/{path}")
+    _, there = hadoop_path(docs.sparkSession, f"{root.rstrip('/')}/{target}")
+    if not fs.exists(source) or fs.exists(there):
+        raise ValueError(f"{path} is not there" if not fs.exists(source) else f"{target} is there already")
+    write_files(new, root)
+    if not fs.rename(source, there):
+        raise OSError(f"{path} could not be moved to {target}")
+    return target
+
+
 def today() -> str:
     return dt.datetime.now(dt.UTC).strftime("%Y-%m-%d")
 
@@ -260,6 +276,3 @@ def new_document(spark: SparkSession, nodes: DataFrame, schema: Schema, type_nam
     id_ = next_id(nodes, type_name).first().next_id.lower()
     return spark.createDataFrame([(f"{t.folder.rstrip('/') + '/' if t and t.folder else ''}{id_}.md", template(schema, type_name, values))], "path string, raw string")
 
-
-def normal_heading(c: Column) -> Column:
-    return F.lower(strip(c))

@@ -9,30 +9,32 @@ from ..functions.parse import frontmatter_json
 from ..functions.scalar import strip
 from ..plans.schema import Schema
 from ..sources.files import path_order
+from ..sources.storage import written
 from .filters import shown, where
 
 
 def listing(docs: DataFrame, *predicates: Column, sort: str | None = None, fields: list[str] | None = None) -> DataFrame:
     """Filtered, sorted by a field's display (``-field``: falling; missing is empty; ties by
     path, rising either way), and reduced to path and the fields."""
-    out = where(docs, *predicates)
-    order = [path_order(F.col("path")).asc()]
-    if sort:
-        key = F.coalesce(shown(sort.lstrip("-")), F.lit(""))
-        order.insert(0, key.desc() if sort.startswith("-") else key.asc())
-    out = out.orderBy(*order)
-    return out.select("path", *[shown(f).alias(f) for f in fields]) if fields else out
+    key = F.coalesce(shown(sort.lstrip("-")), F.lit("")) if sort else F.lit("")
+    out = where(docs, *predicates).withColumn("_key", key)
+    order = [F.col("_key").desc() if (sort or "").startswith("-") else F.col("_key").asc(), path_order(F.col("path")).asc()]
+    if not fields:
+        return out.orderBy(*order).drop("_key")
+    # written first, as a sort reads its rows twice: to sample, and to sort
+    flat = written(out.select("path", "_key", *[shown(f).alias(f"_{i}") for i, f in enumerate(fields)]), "listing")
+    return flat.orderBy(*order).select("path", *[F.col(f"_{i}").alias(f) for i, f in enumerate(fields)])
 
 
 def positions(docs: DataFrame, sort: str) -> DataFrame:
-    """(path, key, pos): places in the order that ``listing`` gives, from 1. Rows are numbered
-    within equal keys, after the number of rows of the keys before; no task sorts them all."""
-    falling = sort.startswith("-")
-    at = where(docs).select("path", F.coalesce(shown(sort.lstrip("-")), F.lit("")).alias("key"))
-    order = F.col("key").desc() if falling else F.col("key").asc()
-    before = at.groupBy("key").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("key").orderBy(path_order(F.col("path"))))
-    return at.withColumn("own", own).join(before.select("key", "before"), "key").select("path", "key", (F.col("before") + F.col("own")).alias("pos"))
+    """(path, key, pos): places in the order that ``listing`` gives, from 1. Rows are sorted by
+    ranges and numbered within each; a range's rows come after those of the ranges before."""
+    key = F.col("key").desc() if sort.startswith("-") else F.col("key").asc()
+    at = written(where(docs).select("path", F.coalesce(shown(sort.lstrip("-")), F.lit("")).alias("key")), "sort-keys")
+    placed = written(at.orderBy(key, path_order(F.col("path"))).withColumn("_m", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_m", 33)
+    before = placed.groupBy(part.alias("_p")).count().withColumn("_b", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.withColumn("_p", part).join(F.broadcast(before.select("_p", "_b")), "_p").select("path", "key", (F.col("_b") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).alias("pos"))
 
 
 def list_json(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -103,6 +105,19 @@ def cell(found: DataFrame, name: str, row: int) -> DataFrame:
     return column(found, name).select("path", "heading", "table_idx", F.try_element_at("values", F.lit(row + 1)).alias("value")).filter("value is not null")
 
 
+def row(found: DataFrame, number: int) -> DataFrame:
+    """(path, heading, table_idx, cells) of the row of that number, from 0, where there is one."""
+    return found.select("path", "heading", "table_idx", F.try_element_at("rows", F.lit(number + 1)).alias("cells")).filter("cells is not null")
+
+
+def parse_cell(text: str) -> tuple[str, int]:
+    """``Column,Row`` as (column, row)."""
+    name, sign, number = text.partition(",")
+    if not sign or not number.strip().isdecimal():
+        raise ValueError(f"a cell is Column,Row: {text!r}")
+    return name, int(number)
+
+
 def table_objects(found: DataFrame) -> DataFrame:
     """Each row as a map of its cells; ragged rows end with the shorter side."""
     return found.select("path", "heading", "table_idx", F.transform("rows", lambda r: F.map_from_entries(F.filter(F.arrays_zip(F.col("headers").alias("k"), r.alias("v")), lambda e: e["k"].isNotNull() & e["v"].isNotNull()))).alias("objects"))

@@ -11,8 +11,8 @@ from .graph import degrees, orphans, ranked
 def by_type_status(docs: DataFrame) -> DataFrame:
     """(type, status, n); a null status is the row of the type's total."""
     some = docs.filter("fm_state = 'ok' and type is not null")
-    total = some.groupBy("type").count().select("type", F.lit(None).cast("string").alias("status"), F.col("count").alias("n"))
-    return total.unionByName(some.filter("status is not null").groupBy("type", "status").count().select("type", "status", F.col("count").alias("n")))
+    both = some.rollup("type", "status").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+    return both.filter("level = 1 or level = 0 and status is not null").select("type", "status", "n")
 
 
 def by_code(diagnostics: DataFrame) -> DataFrame:

@@ -11,12 +11,13 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dialect, path_to_id, strip
 from ..plans.schema import Schema
 from ..plans.users import Users
+from ..sources.storage import written
 
 DIAGNOSTICS = ["path", "stage", "o1", "o2", "severity", "code", "message", "location", "hint"]
 DIAGRAMS = ["mermaid", "d2", "plantuml", "graphviz", "dot"]
@@ -148,7 +149,7 @@ def resolve_refs(refs: DataFrame, files: DataFrame, schema: Schema) -> DataFrame
             formats.append(dialect(p))
         except (re.error, ValueError):
             continue
-    rows = refs.filter("ref is not null")
+    rows = written(refs.filter("ref is not null"), "refs")
     fits = reduce(lambda a, b: a | b, [F.col("ref").rlike(p) for p in formats], F.lit(not schema.ref_formats))
     flag = lambda d, sev, code, text, hint: d.select("path", "stage", "o1", "o2", F.lit(sev).alias("severity"), F.lit(code).alias("code"), _cat('reference "', F.col("ref"), '" in "', F.col("message"), '" ', text).alias("message"), "location", hint.alias("hint"))
     odd = flag(rows.filter(~fits), "warning", "R001", "has no known format", F.lit("formats: " + ", ".join(p for _, p in schema.ref_formats)))
@@ -172,7 +173,7 @@ def normal_path(p: Column) -> Column:
 
 def resolve_users(rows: DataFrame, users: Users | None) -> DataFrame:
     """U010, U011 of (path, stage, o1, o2, message = name, location, user)."""
-    some = rows.filter("user is not null")
+    some = written(rows.filter("user is not null"), "users")
     flag = lambda d, code, text, hint: d.select("path", "stage", "o1", "o2", F.lit("error").alias("severity"), F.lit(code).alias("code"), _cat('user "', F.col("user"), '" in "', F.col("message"), '" ', text).alias("message"), "location", F.lit(hint).cast("string").alias("hint"))
     out = flag(some.filter(~F.startswith("user", F.lit("@"))), "U010", "does not begin with @", "write @name or @team/name")
     if users is None:
@@ -268,8 +269,12 @@ def type_counts(docs: DataFrame, schema: Schema) -> DataFrame:
     if not limits:
         return _none(docs)
     small = docs.sparkSession.createDataFrame(limits, "type string, max_count int")
-    per = docs.filter("fm_state = 'ok'").select("type", "path").join(F.broadcast(small), "type").groupBy("type", "max_count").agg(F.sort_array(F.collect_list("path")).alias("paths")).filter(F.size("paths") > F.col("max_count"))
-    return per.select(F.element_at("paths", F.col("max_count") + 1).alias("path"), F.inline(F.array(_diag(5, 0, 0, "error", "T010", _cat('type "', F.col("type"), '" has ', F.size("paths").cast("string"), " documents of at most ", F.col("max_count").cast("string")), "type", F.array_join("paths", ", ")))))
+    at = docs.filter("fm_state = 'ok'").select("type", "path").join(F.broadcast(small), "type")
+    most = max(n for _, n in limits) + 1
+    # the constant bound lets every task pass on no more rows of a type than that
+    nth = at.withColumn("_n", F.row_number().over(Window.partitionBy("type").orderBy("path"))).filter(F.col("_n") <= most).filter("_n = max_count + 1")
+    over = nth.join(at.groupBy("type").count(), "type")
+    return over.select("path", F.inline(F.array(_diag(5, 0, 0, "error", "T010", _cat('type "', F.col("type"), '" has ', F.col("count").cast("string"), " documents of at most ", F.col("max_count").cast("string")), "type", "the first one too many, by path"))))
 
 
 def singleton_presence(docs: DataFrame, schema: Schema) -> DataFrame:
@@ -293,6 +298,7 @@ def validate(docs: DataFrame, schema: Schema, users: Users | None = None, files:
     checks = checks.unionByName(document_state(docs, schema, single)).unionByName(type_counts(docs, schema))
     if not single:
         checks = checks.unionByName(singleton_presence(docs, schema))
+    checks = written(checks, "checks")
     plain = checks.filter("code is not null").select(*DIAGNOSTICS)
     pending = checks.filter("code is null")
     return plain.unionByName(resolve_refs(pending, docs if files is None else files, schema).select(*DIAGNOSTICS)).unionByName(resolve_users(pending, users).select(*DIAGNOSTICS))

@@ -245,12 +245,12 @@ def _shown(d: DataFrame) -> DataFrame:
 
 @_add(_codes("F010 F020 F021 F030 F040"))
 def val_fields(spark, sf_dir):
-    return _shown(validate.field_checks(corpus.part_heads(spark, sf_dir), corpus.part_schema()).filter("code is not null"))
+    return _shown(validate.field_checks(written(corpus.part_heads(spark, sf_dir), "heads"), corpus.part_schema()).filter("code is not null"))
 
 
 @_add(_codes("R001 R011"))
 def val_refs(spark, sf_dir):
-    docs = corpus.part_heads(spark, sf_dir)
+    docs = written(corpus.part_heads(spark, sf_dir), "heads")
     return _shown(validate.resolve_refs(validate.relation_checks(docs, corpus.part_schema()), docs, corpus.part_schema()))
 
 
@@ -261,12 +261,12 @@ def val_users(spark, sf_dir):
 
 @_add(_codes("S010 S020 S021 S022 S030 S031 S032"))
 def val_sections(spark, sf_dir):
-    return _shown(validate.section_checks(corpus.parts(spark, sf_dir), corpus.part_schema()).filter("code is not null"))
+    return _shown(validate.section_checks(corpus.stored_parts(spark, sf_dir), corpus.part_schema()).filter("code is not null"))
 
 
 @_add(_codes("T010 T020"))
 def val_counts(spark, sf_dir):
-    docs, schema = corpus.part_heads(spark, sf_dir), corpus.part_schema()
+    docs, schema = written(corpus.part_heads(spark, sf_dir), "heads"), corpus.part_schema()
     return _shown(validate.type_counts(docs, schema).unionByName(validate.singleton_presence(docs, schema)))
 
 
@@ -546,7 +546,7 @@ def append_section(spark, sf_dir):
 
 @_add("with s as (select 'order' as type, o_orderstatus as status from orders) select type, status, count(*) as n from s group by 1, 2 union all select type, null, count(*) from (select 'order' as type from orders union all select 'customer' from customer where c_acctbal >= 0 union all select 'nation' from nation union all select 'region' from region) group by 1")
 def stats_by_type_status(spark, sf_dir):
-    return stats.by_type_status(corpus.linked(spark, sf_dir))
+    return stats.by_type_status(corpus.linked_heads(spark, sf_dir))
 
 
 @_add("select (select o_orderkey from orders order by o_orderdate, o_orderkey limit 1) as oldest_id, cast(min(o_orderdate) as date) as oldest, (select o_orderkey from orders order by o_orderdate desc, o_orderkey desc limit 1) as newest_id, cast(max(o_orderdate) as date) as newest from orders")

@@ -9,14 +9,22 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import hadoop_path
+
 FILES = "path string, raw string, size long, mtime timestamp"
 
 
-def _ignore_patterns(root: str) -> list[tuple[bool, str]]:
-    at = os.path.join(root.removeprefix("file://"), ".gitignore")
-    if not os.path.isfile(at):
+def _ignore_patterns(spark: SparkSession, root: str) -> list[tuple[bool, str]]:
+    """Lines of the root's ignore file, on any file system."""
+    fs, at = hadoop_path(spark, f"{root.rstrip('/')}/.gitignore")
+    if not fs.exists(at):
         return []
-    lines = [x.rstrip("\n").strip() for x in open(at, encoding="utf-8")]
+    stream = fs.open(at)
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    lines = [x.strip() for x in text.splitlines()]
     return [(x.startswith("!"), x.lstrip("!")) for x in lines if x and not x.startswith("#")]
 
 
@@ -44,7 +52,7 @@ def scan(spark: SparkSession, root: str, pattern: str = "*.md", no_ignore: bool
     out = files.select(at.alias("path"), F.col("value").alias("raw"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("mtime"))
     if not no_ignore:
         hidden = F.lit(False)
-        for keep, p in _ignore_patterns(root):
+        for keep, p in _ignore_patterns(spark, root):
             hidden = F.when(F.col("path").rlike(_ignore_expression(p)), F.lit(not keep)).otherwise(hidden)
         out = out.filter(~hidden)
     return out
@@ -87,6 +95,8 @@ def stale(old: DataFrame, new: DataFrame) -> DataFrame:
 def write_files(docs: DataFrame, root: str, column: str = "raw", suffix: str | None = None) -> None:
     """Writes each row's text to root/path, over what is there. The root is a folder that
     executors share; a task writes a file of its own name and renames it, so retries do no harm."""
+    if "://" in root and not root.startswith("file://"):
+        raise ValueError(f"{root} is no folder that tasks can write files to; mount it, or write a table")
     base = root.removeprefix("file://")
 
     def write(rows):
