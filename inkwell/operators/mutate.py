@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frontmatter as fm
 from ..functions.markdown import blocks, parse_body, split_lines, split_row
+from ..functions.parse import slices
 from ..functions.scalar import closest, normal_id
 from ..plans.schema import Schema, Section
 from .filters import where
@@ -25,23 +26,24 @@ def rewrite(changed: DataFrame, fields: Callable | None = None, body: Callable |
     """(path, raw, edit as JSON) to (path, raw) with edited frontmatter and body. Documents of
     malformed frontmatter are left out."""
 
+    def change(path, raw, edit):
+        state, values, _, text, _ = fm.parse(raw or "")
+        if state == "error":
+            return None
+        todo = json.loads(edit)
+        new = fields(dict(values), todo) if fields else values
+        after = body(text, todo) if body else text
+        if new != values or state == "ok" and after != text and new:
+            raw = fm.render(new, after)
+        elif after != text:
+            raw = after if state == "absent" else fm.render(new, after)
+        return path, raw
+
     def run(batches):
-        for x in batches:
-            paths, out = [], []
-            for path, raw, edit in zip(*(x.column(c).to_pylist() for c in ("path", "raw", "edit")), strict=True):
-                state, values, _, text, _ = fm.parse(raw or "")
-                if state == "error":
-                    continue
-                todo = json.loads(edit)
-                new = fields(dict(values), todo) if fields else values
-                after = body(text, todo) if body else text
-                if new != values or state == "ok" and after != text and new:
-                    raw = fm.render(new, after)
-                elif after != text:
-                    raw = after if state == "absent" else fm.render(new, after)
-                paths.append(path)
-                out.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(out, pa.string())], ["path", "raw"])
+        for batch in batches:
+            for x in slices(batch, "raw"):
+                out = [r for t in zip(*(x.column(c).to_pylist() for c in ("path", "raw", "edit")), strict=True) if (r := change(*t))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in (0, 1)], ["path", "raw"])
 
     return changed.select("path", "raw", "edit").mapInArrow(run, "path string, raw string")
 
