@@ -19,6 +19,7 @@ from ..functions.markdown import blocks, parse_body, split_lines, split_row
 from ..functions.parse import slices
 from ..functions.scalar import closest, normal_id
 from ..plans.schema import Schema, Section
+from ..sources.storage import written
 from .filters import where
 
 
@@ -212,13 +213,16 @@ def fix_plan(docs: DataFrame, diagnostics: DataFrame, schema: Schema) -> DataFra
     """(path, code, name, value, depth): what can be mended. F010 by the field's default, F021
     by the nearest value (at most half its length of edits, or 2), S010 by a heading."""
     tables = schema.frames(docs.sparkSession)
-    d = diagnostics.select("path", "code", "o1").join(docs.select("path", "type", "fields"), "path")
+    enums = sorted({f.name for t in schema.types for f in t.fields if f.type == "enum"})
+    shown = [F.try_element_at("fields", F.lit(k))["display"].alias(f"held_{i}") for i, k in enumerate(enums)]
+    # joined once, for the three kinds
+    d = written(diagnostics.filter(F.col("code").isin("F010", "F021", "S010")).select("path", "code", "o1").join(docs.select("path", "type", *shown), "path"), "fixable")
     fields = F.broadcast(tables["fields"].withColumnRenamed("ord", "o1"))
     out = d.filter("code = 'F010'").join(fields, ["type", "o1"]).filter("default is not null").select("path", "code", "name", F.col("default").alias("value"), F.lit(0).alias("depth"))
     for t in schema.types:
         for i, f in enumerate(t.fields):
             if f.type == "enum":
-                held = F.try_element_at("fields", F.lit(f.name))["display"]
+                held = F.col(f"held_{enums.index(f.name)}")
                 near = closest(held, f.values, F.greatest(F.floor(F.length(held) / 2), F.lit(2)))
                 out = out.unionByName(d.filter((F.col("code") == "F021") & (F.col("type") == t.name) & (F.col("o1") == i)).select("path", "code", F.lit(f.name).alias("name"), near.alias("value"), F.lit(0).alias("depth")).filter("value is not null"))
     sections = F.broadcast(tables["sections"].select(F.col("section_id").alias("o1"), "name", "depth"))

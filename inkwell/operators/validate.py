@@ -20,6 +20,9 @@ from ..plans.users import Users
 from ..sources.storage import written
 
 DIAGNOSTICS = ["path", "stage", "o1", "o2", "severity", "code", "message", "location", "hint"]
+#: What the checks read of parsed documents, and of their sections.
+COLUMNS = ["fm_state", "parse_error", "sections"]
+SECTION = ["ord", "parent", "heading", "n_paragraphs", "n_lists", "n_items", "code_infos", "tables"]
 DIAGRAMS = ["mermaid", "d2", "plantuml", "graphviz", "dot"]
 
 _DIAG = "struct<stage:int,o1:int,o2:int,severity:string,code:string,message:string,location:string,hint:string,ref:string,user:string>"

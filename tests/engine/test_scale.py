@@ -8,8 +8,9 @@ import yaml
 from pyspark.sql import functions as F
 
 from inkwell.functions import frontmatter as fm
-from inkwell.functions.parse import CHARS, ROWS, parse_documents, slices
-from inkwell.operators import graph
+from inkwell import queries
+from inkwell.functions.parse import CHARS, ROWS, parse_documents, parse_graph, slices
+from inkwell.operators import graph, validate
 from inkwell.operators.mutate import set_fields
 from inkwell.plans.schema import Schema
 from inkwell.plans.users import expand_teams
@@ -79,3 +80,51 @@ def test_columns_asked_for_are_those_that_come(spark):
     schema = Schema.parse('type "t" { field "see" type="ref" }\nrelation "see"')
     # a/t-2 is no node itself, but its id is one; t-3 is none
     assert sorted((r["from"], r["to"], r.relation) for r in graph.edges(some, schema).collect()) == [("T-1", "T-2", "see"), ("T-2", "T-1", "inline_ref")]
+
+
+_ODD = [
+    ("a/t-1.md", "---\ntype: t\nstatus: null\nsee: [t-2, 3, null, T-2]\nback: T-9\n---\n# A\n\n[x](t-2.md) [x](t-3.md) <a@b.cd>\n\n[r]: t-4.md\n"),
+    ("a/t-2.md", "[y](t-1.md) and [r]\n\n| a |\n| - |\n| [z](t-3.md) |\n\n[r]: t-1.md\n"),
+    ("b/t-2.md", "---\ntype: t\ntitle: 007\nback: 4\nsee: {a: b}\n---\n## [h](t-1.md)\n\n`[c](t-9.md)`\n"),
+    ("a/t-3.md", "---\ntype: [x\n---\n[z](t-1.md)\n"),
+    ("a/t-4.md", None),
+    ("a/t-5.md", "---\nsee: ''\nback: [[T-1], T-1]\n---\nno links\n"),
+]
+
+
+def test_the_graph_pass_gives_the_nodes_and_edges_of_the_whole_parse(spark):
+    files = spark.createDataFrame(_ODD, "path string, raw string")
+    schema = Schema.parse('type "t" { field "see" type="ref" }\nrelation "see" inverse="back" cardinality="many"')
+    whole, few = parse_documents(files), parse_graph(files, schema.relation_names())
+    assert "fields" not in few.columns and "sections" not in few.columns
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(graph.nodes(whole)) == rows(graph.nodes(few))
+    assert rows(graph.edges(whole, schema)) == rows(graph.edges(few, schema)) and graph.edges(few, schema).count() > 6
+    assert rows(whole.select("path", "links")) == rows(few.select("path", "links"))
+
+
+def test_a_walk_writes_nothing_after_its_last_step(spark, monkeypatch):
+    tags = []
+    put = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, tag: tags.append(tag) or put(df, tag))
+    e = spark.createDataFrame([("A", "B", "r"), ("B", "C", "r"), ("C", "D", "r"), ("A", "B", "r")], "from string, to string, relation string")
+    got = graph.walk(e, spark.createDataFrame([("A",)], "id string"), 2)
+    assert sorted(map(tuple, got.collect())) == [("A", 1, "A", "B", "r"), ("A", 2, "B", "C", "r")]
+    assert tags.count("walk-step") == tags.count("walk-frontier") == 1
+
+
+def test_sections_of_some_fields_are_those_of_the_whole_parse(spark):
+    files = spark.createDataFrame(_ODD, "path string, raw string")
+    whole, some = parse_documents(files), parse_documents(files, validate.COLUMNS, validate.SECTION)
+    assert {"raw", "body", "links"}.isdisjoint(some.columns)
+    cut = whole.select(*[c for c in some.columns if c != "sections"], F.transform("sections", lambda x: F.struct(*[x[k].alias(k) for k in some.schema["sections"].dataType.elementType.names])).alias("sections"))
+    assert sorted(map(str, cut.select(some.columns).collect())) == sorted(map(str, some.collect()))
+
+
+def test_fixes_parse_only_what_they_mended_again(spark, monkeypatch):
+    parsed = []
+    parse = queries.parse_documents
+    monkeypatch.setattr(queries, "parse_documents", lambda files, *a: parsed.append(files.count()) or parse(files, *a))
+    sf = "/root/testdata/sf0.001"
+    queries.QUERIES["fix_apply"](spark, sf).collect()
+    assert sum(parsed) < spark.read.parquet(f"{sf}/part.parquet").count()
